@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, url_filters
+from . import line_dedup, packing, sharding, simhash, url_filters
 
 URL_RULES = [
     url_filters.Rule("allow", "org", "/"),
@@ -61,5 +61,30 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM j GROUP BY r, doc_id
 """
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op3_line_dedup": op3_line_dedup}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=1024, end_id=2)
+
+
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, budget=4)
+    return out.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
+
+
+QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_line_dedup": op3_line_dedup,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op9_sharding": op9_sharding,
+}
 SQL = {"op1_url_filters": OP1_SQL, "op3_line_dedup": OP3_SQL}
