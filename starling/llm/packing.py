@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, ranked
 
-#: Strings cached per worker, about 60 MB.
-CACHE = 400_000
+#: Strings cached per worker, some 150 MB.
+CACHE = 800_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -46,6 +46,7 @@ class Encoder:
         pieces = str(self.tokenizer.pre_tokenizer)
         self.cuts = len(newline) == 4 and "ByteLevel" in pieces and "Sequence" not in pieces and "add_prefix_space=False" in pieces and self.tokenizer.normalizer is None
         self.newline = newline
+        self.marks = {x: self.encode_whole(x) for x in ",."}
         self.first: dict[str, bytes] = {}  # a line's first stretch, without a space before it
         self.rest: dict[str, bytes] = {}
 
@@ -64,12 +65,12 @@ class Encoder:
             if len(self.rest) + len(self.first) > CACHE:
                 self.rest.clear()
                 self.first.clear()
-            new_first = {x[0] for x in lines} - self.first.keys()
-            new_rest = set().union(*(x[1:] for x in lines)) - self.rest.keys()
+            new_first = {x[0] for x in lines if x[0] not in self.first}
+            new_rest = {y for x in lines for y in x[1:] if y not in self.rest}
             if not all(map(self._cuttable, new_first)) or not all(map(self._cuttable, new_rest)):
                 return self.encode_whole(text)
-            self._learn(self.first, list(new_first), "")
-            self._learn(self.rest, list(new_rest), " ")
+            self._learn(self.first, new_first, "")
+            self._learn(self.rest, new_rest, " ")
             return self._joined(lines)
 
     def _joined(self, lines: list[list[str]]) -> bytes:
@@ -79,13 +80,17 @@ class Encoder:
     def _cuttable(self, x: str) -> bool:
         return bool(x) and not x[0].isspace() and not x[-1].isspace() and not any(s in x for s in self.special)
 
-    def _learn(self, into: dict[str, bytes], new: list[str], before: str) -> None:
-        if new:
-            ids = np.frombuffer(self.encode_whole("\n".join([before + x for x in new])), "<u4")
-            cuts = np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0])
-            parts = np.split(ids, cuts)
-            into[new[0]] = parts[0].tobytes()
-            into.update((x, p[1:].tobytes()) for x, p in zip(new[1:], parts[1:], strict=True))
+    def _learn(self, into: dict[str, bytes], new: set[str], before: str) -> None:
+        # a comma or full stop after a letter is a piece of its own
+        ends = {x for x in new if x[-1] in ",." and len(x) > 1 and x[-2].isalpha()}
+        bases = [x for x in (new - ends) | {x[:-1] for x in ends} if x not in into]
+        if bases:
+            ids = np.frombuffer(self.encode_whole("\n".join([before + x for x in bases])), "<u4")
+            cuts = np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0]).tolist()
+            raw = ids.tobytes()
+            into.update(zip(bases, [raw[4 * a : 4 * b] for a, b in zip([0] + [c + 1 for c in cuts], cuts + [len(ids)], strict=True)], strict=True))
+        for x in ends:
+            into[x] = into[x[:-1]] + self.marks[x[-1]]
 
 
 _encoders: dict[str, Encoder] = {}
