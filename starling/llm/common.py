@@ -13,6 +13,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: [\x20\x09-\x0D], the white space of every operator here.
 SPACES = " \t\n\x0b\x0c\r"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SPACES_RE = r"[\x20\x09-\x0D]"
 
 
@@ -48,7 +49,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     and gives the planner true sizes. The files stay until clear_workspace()."""
     spark = df.sparkSession
     path = f"{workspace(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")  # the shuffle files aren't needed any more once the table is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

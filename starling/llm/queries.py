@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, sharding, simhash, url_filters
+from . import decontam, line_dedup, lm, packing, sharding, simhash, toxicity, url_filters
 
 URL_RULES = [
     url_filters.Rule("allow", "org", "/"),
@@ -80,11 +80,55 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=5, threshold=0.8)
+
+
+OP7_SQL = r"""
+WITH texts AS (
+  SELECT 'd' AS kind, row_number() OVER () AS r, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), item_id, text FROM benchmark),
+w AS (SELECT kind, r, id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM texts),
+s AS (SELECT kind, r, id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS g
+  FROM w WHERE len(w) > 0),
+b AS (SELECT r, id AS item_id, len(g) AS n_shingles, unnest(g) AS g FROM s WHERE kind = 'b'),
+d AS (SELECT r, id AS doc_id, unnest(g) AS g FROM s WHERE kind = 'd'),
+m AS (SELECT d.r AS dr, b.r AS br, doc_id, item_id, n_shingles, count(*) AS n_shared FROM d JOIN b USING (g) GROUP BY ALL),
+k AS (SELECT * FROM m WHERE n_shared >= ceil(0.8::DOUBLE * n_shingles - 1e-9)),
+p AS (SELECT doc_id, item_id, max({'c': n_shared::DOUBLE / n_shingles, 'n': n_shingles, 's': n_shared}) AS x FROM k GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, x.n AS n_shingles, x.s AS n_shared, x.c AS containment FROM p
+"""
+
+TOXICITY_CHAIN = ["quality", "toxic"]
+TOXICITY_THRESHOLD = 0.5
+
+
+def judge_toxicity(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """docs with p_quality, p_toxic and rejected, by a chain learned from the labelled documents of the corpus."""
+    chain = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TOXICITY_CHAIN)
+    return toxicity.score(docs, chain, "toxic", TOXICITY_THRESHOLD)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rejected documents with the probabilities of the chain; every document is scored."""
+    judged = judge_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), spark, sf_dir)
+    return judged.where("rejected").select("doc_id", F.col("rejected").alias("toxic"), "p_quality", "p_toxic")
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.score_documents(table(spark, sf_dir, "documents"), train=~lm.held_out(F.col("doc_id")))
+    return out.select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_dedup": op3_line_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
+    "op10_lm_scoring": op10_lm_scoring,
 }
-SQL = {"op1_url_filters": OP1_SQL, "op3_line_dedup": OP3_SQL}
+SQL = {"op1_url_filters": OP1_SQL, "op3_line_dedup": OP3_SQL, "op7_benchmark_decontamination": OP7_SQL}
