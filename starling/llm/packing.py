@@ -31,6 +31,8 @@ from .common import materialize, ranked
 
 #: Strings cached per worker, some 150 MB.
 CACHE = 800_000
+#: Texts whose new strings are looked up together.
+TOGETHER = 128
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -54,24 +56,28 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of several texts, whose new stretches are looked up together."""
         if not self.cuts:
-            return self.encode_whole(text)
-        lines = [x.split(" ") for x in text.split("\n")]
-        try:
-            return self._joined(lines)
-        except KeyError:
-            if len(self.rest) + len(self.first) > CACHE:
-                self.rest.clear()
-                self.first.clear()
-            new_first = {x[0] for x in lines if x[0] not in self.first}
-            new_rest = {y for x in lines for y in x[1:] if y not in self.rest}
-            if not all(map(self._cuttable, new_first)) or not all(map(self._cuttable, new_rest)):
-                return self.encode_whole(text)
-            self._learn(self.first, new_first, "")
-            self._learn(self.rest, new_rest, " ")
-            return self._joined(lines)
+            return [self.encode_whole(t) for t in texts]
+        cut = [[x.split(" ") for x in t.split("\n")] for t in texts]
+        new_first = {x[0] for lines in cut for x in lines if x[0] not in self.first}
+        new_rest = {y for lines in cut for x in lines for y in x[1:] if y not in self.rest}
+        if len(self.rest) + len(self.first) + len(new_rest) > CACHE:
+            self.rest.clear()
+            self.first.clear()
+            new_first, new_rest = {x[0] for lines in cut for x in lines}, {y for lines in cut for x in lines for y in x[1:]}
+        self._learn(self.first, set(filter(self._cuttable, new_first)), "")
+        self._learn(self.rest, set(filter(self._cuttable, new_rest)), " ")
+        out = []
+        for text, lines in zip(texts, cut):
+            try:
+                out.append(self._joined(lines) if text else b"")
+            except KeyError:  # a stretch that can't be cut off
+                out.append(self.encode_whole(text))
+        return out
 
     def _joined(self, lines: list[list[str]]) -> bytes:
         first, rest = self.first, self.rest.__getitem__
@@ -113,24 +119,26 @@ def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id:
     """A row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path).encode, np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            rows: list[tuple] = []
-            held: list[bytes] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = encode(text.as_py() or "") + end
-                for i, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    part = ids[4 * s : 4 * (s + n)]
-                    rows.append((doc, i, s, n, zlib.crc32(part)))
-                    if with_ids:
-                        held.append(part)
-            arrays = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                offsets = np.cumsum([0] + [len(x) // 4 for x in held]).astype(np.int32)
-                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(held), "<u4").astype(np.int32))))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names)
+        encode, end = encoder(tokenizer_path).encode_all, np.array([end_id], "<u4").tobytes()
+        for whole in batches:
+            for at in range(0, whole.num_rows, TOGETHER):
+                b = whole.slice(at, TOGETHER)
+                rows: list[tuple] = []
+                held: list[bytes] = []
+                for doc, ids in zip(b.column(0).to_pylist(), encode([x or "" for x in b.column(1).to_pylist()])):
+                    ids += end
+                    for i, (s, n) in enumerate(cut(len(ids) // 4, capacity)):
+                        part = ids[4 * s : 4 * (s + n)]
+                        rows.append((doc, i, s, n, zlib.crc32(part)))
+                        if with_ids:
+                            held.append(part)
+                arrays = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if with_ids:
+                    offsets = np.cumsum([0] + [len(x) // 4 for x in held]).astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(held), "<u4").astype(np.int32))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE + ", ids array<int>" * with_ids)
 
