@@ -101,7 +101,7 @@ SELECT doc_id, item_id, x.n AS n_shingles, x.s AS n_shared, x.c AS containment F
 """
 
 TOXICITY_CHAIN = ["quality", "toxic"]
-TOXICITY_THRESHOLD = 0.5
+TOXICITY_THRESHOLD = 0.4
 
 
 def judge_toxicity(docs: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ The categories of a label table are predicted one after another. Each category h
 and the log-odds of all earlier categories. In training these log-odds are out of fold: a document gets them from a model
 that was fitted without it, so that later models see earlier predictions as they will be on unseen text.
 
-Features are the distinct words of a whole text, lower-cased in A-Z, cut at white space and ASCII punctuation, hashed to
-2**HASH_BITS; for each category the TOP words by likelihood ratio are used. The models are fitted on at most sample_rows
+Features are the distinct words of a whole text, lower-cased in A-Z, cut at white space and ASCII punctuation, and the first
+PREFIXES bytes of longer ones (inflected and compound forms), hashed to 2**HASH_BITS; for each category the features are used
+whose likelihood ratio is at least LEAST, the TOP ones at most. The models are fitted on at most sample_rows
 labelled documents, chosen by a hash of doc_id (a documented bound; features of the sample, not texts, reach the driver). All
 documents are scored, whole, in one pass without a shuffle.
 
@@ -26,18 +27,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HASH_BITS = 18
+HASH_BITS = 21
 TOP = 4096
+LEAST = 15.0
+PREFIXES = (4, 5, 6)
 FOLDS = 5
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 _LETTERS = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def features(raw: bytes | None) -> np.ndarray:
-    """Sorted distinct hashes of the words of a UTF-8 text."""
+    """Sorted distinct hashes of the words and prefixes of a UTF-8 text."""
     words = set((raw or b"").translate(_LETTERS).split())
-    mask = (1 << HASH_BITS) - 1
-    return np.unique(np.fromiter((zlib.crc32(w) & mask for w in words), np.int32, len(words)))
+    found = [zlib.crc32(w) for w in words]
+    for n in PREFIXES:
+        salt = zlib.crc32(b"%d:" % n)
+        found += [zlib.crc32(p, salt) for p in {w[:n] for w in words if len(w) > n}]
+    return np.unique(np.array(found, np.uint32) & np.uint32((1 << HASH_BITS) - 1)).astype(np.int32)
 
 
 @dataclass
@@ -52,13 +58,15 @@ class Linear:
     def log_odds(self, rows: list[np.ndarray], dense: np.ndarray) -> np.ndarray:
         table = np.zeros(1 << HASH_BITS)
         table[self.chosen] = self.weights
-        return np.array([table[r].sum() for r in rows]) + dense @ self.dense + self.bias
+        return np.array([table[r].sum() for r in rows]).reshape(len(rows)) + dense @ self.dense + self.bias
 
 
 def _select(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The TOP hashes by likelihood ratio between the classes, of those in at least 3 documents."""
+    """The hashes with the largest likelihood ratio between the classes, of those in at least 3 documents."""
     n = 1 << HASH_BITS
     pos, neg = (np.bincount(np.concatenate([r for r, t in zip(rows, y) if t == v] or [np.zeros(0, np.int32)]), minlength=n).astype(float) for v in (1, 0))
+    seen = np.flatnonzero(pos + neg >= 3)
+    pos, neg = pos[seen], neg[seen]
     total, n1 = pos + neg, float(y.sum())
     n0 = len(y) - n1
 
@@ -66,10 +74,9 @@ def _select(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0)
 
     e1, e0 = total * n1 / len(y), total * n0 / len(y)
-    ratio = part(pos, e1) + part(neg, e0) + part(n1 - pos, n1 - e1) + part(n0 - neg, n0 - e0)
-    ratio[total < 3] = 0
-    best = np.argsort(-ratio, kind="stable")[:TOP]
-    return np.sort(best[ratio[best] > 0]).astype(np.int32)
+    ratio = 2 * (part(pos, e1) + part(neg, e0) + part(n1 - pos, n1 - e1) + part(n0 - neg, n0 - e0))
+    good = seen[ratio >= LEAST]
+    return np.sort(good[np.argsort(-ratio[ratio >= LEAST], kind="stable")[:TOP]]).astype(np.int32)
 
 
 def fit(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, steps: int = 300, rate: float = 0.05, decay: float = 3e-4) -> Linear:
@@ -77,8 +84,8 @@ def fit(rows: list[np.ndarray], dense: np.ndarray, y: np.ndarray, steps: int = 3
     if not len(y) or y.min() == y.max():
         return Linear(np.zeros(0, np.int32), np.zeros(0), np.zeros(dense.shape[1]), 40.0 if len(y) and y[0] else -40.0)
     chosen = _select(rows, y)
-    place = np.full(1 << HASH_BITS, -1)
-    place[chosen] = np.arange(len(chosen))
+    place = np.full(1 << HASH_BITS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen), dtype=np.int32)
     cols = [c[c >= 0] for c in (place[r] for r in rows)]
     flat, owner = np.concatenate(cols), np.repeat(np.arange(len(rows)), [len(c) for c in cols])
     w = np.zeros(len(chosen) + dense.shape[1] + 1)

@@ -129,7 +129,7 @@ def test_toxicity_held_out_and_odd_rows(spark):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     chain = toxicity.train(docs, labels.where(~fold), TOXICITY_CHAIN)
-    r = toxicity.score(docs, chain, "toxic").join(labels.where(fold), "doc_id").agg(F.count_if("rejected AND toxic = 1"), F.sum("toxic"), F.count_if("rejected AND toxic = 0")).first()
+    r = toxicity.score(docs, chain, "toxic").join(labels.where(fold), "doc_id").agg(F.count_if(F.expr("rejected AND toxic = 1")), F.sum("toxic"), F.count_if(F.expr("rejected AND toxic = 0"))).first()
     assert r[0] / r[1] > 0.7 and r[2] <= 3
     odd = toxicity.score(docs_of(spark, ODD), chain, "toxic").collect()
     assert len(odd) == len(ODD) and not any(r["rejected"] for r in odd if not (r["text"] or "").strip())
