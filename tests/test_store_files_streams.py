@@ -16,7 +16,7 @@ def test_dataset_csv(spark, tmp_path):
     p.write_text("id;url;embedding;metadata\n1;u1;[1.0, 2.0];a;b\n\nbad;line\n2;u2;3,4;  \n1;u1b;[5, 6];last\n")
     rows = {r["id"]: r for r in files.read_dataset(spark, str(p), 2).collect()}
     assert set(rows) == {1, 2} and list(rows[1]["vector"]) == [5.0, 6.0] and rows[1]["url"] == "u1b" and rows[2]["metadata"] is None
-    assert files.dropped_lines(spark, str(p)) == 2 and files.count_rows(spark, str(p)) == 4
+    assert files.dropped_lines(spark, str(p)) == 1 and files.count_rows(spark, str(p)) == 4
     out = str(tmp_path / "out")
     v = spark.createDataFrame([(1, [1.5, -2.0], "u;".strip(";"), 'x;"y"'), (7, [0.0, 1e-5], "w", None)], "id long, vector array<float>, url string, metadata string")
     files.write_dataset(v, out)
