@@ -7,7 +7,7 @@ How: containment of a short set in a long one is searched from the short side. I
 shingles, n), and an item's MinHash sketch holds its k(n) = n - ceil(threshold n) + 1 smallest shingle hashes: an item with the
 threshold contained lacks at most k - 1 shingles, so at least one shingle of the sketch is in the document and no such pair is
 lost. Shingle hashes of whole documents are joined with the sketches; the pairs found are verified by the exact shingles, as
-strings. The join sends the sketches or, beyond `broadcast_rows`, shuffles both sides, with the documents' hashes
+strings. The join sends the sketches or, where the item texts have more than `broadcast_bytes`, shuffles both sides, with the documents' hashes
 pre-filtered to distinct ones for each document.
 
 Defined cases: null and empty texts have no shingles and are in no pair; items without words are never found; several items of
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, words
 
-#: Sketch rows sent to all executors (16 bytes each); more are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of item texts up to which sketches and shingles (about `width` times as much) are sent to all executors.
+BROADCAST_BYTES = 8 << 20
 
 
 def _positions(w: Column, width: int) -> Column:
@@ -42,14 +42,14 @@ def shingles(w: Column, width: int) -> Column:
     return F.array_distinct(F.transform(_positions(w, width), lambda i: F.array_join(F.slice(w, i + 1, width), " ")))
 
 
-def find_items(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, width: int = 5, threshold: float = 0.8, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment) of every pair at or above the threshold."""
     whole = items.select(F.col("item_id"), words(F.col("text")).alias("w")).select("item_id", shingles(F.col("w"), width).alias("of_item"), shingle_hashes(F.col("w"), width).alias("h"))
     whole = whole.where(F.size("of_item") > 0).distinct().withColumn("item_key", F.xxhash64("item_id", "of_item"))
     whole = materialize(whole, "items")
     need = F.ceil(F.lit(threshold) * F.size("h") - F.lit(1e-9))
     sketch = whole.select("item_key", F.explode(F.slice(F.array_sort("h"), F.lit(1), (F.size("h") - need + 1).cast("int"))).alias("hash"))
-    small = sketch.count() <= broadcast_rows
+    small = (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= broadcast_bytes
 
     marked = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
     # words are a column of their own, not an expression that every lookup would evaluate again

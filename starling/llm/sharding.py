@@ -79,9 +79,9 @@ def assign(groups: DataFrame, keys: list[str], shards: int, bucket_rows: int = B
     labelled = materialize(dealt.groupBy("__bucket").applyInPandas(within, schema), "shard-labels")
     sums = labelled.groupBy("__bucket").pivot("label", list(range(shards))).agg(F.sum("bytes")).na.fill(0).orderBy("__bucket").collect()
     places, _ = difference([[int(r[str(j)]) for j in range(shards)] for r in sums], shards)
-    names = [(r["__bucket"], j, int(places[i, j])) for i, r in enumerate(sums) for j in range(shards)]
-    table = groups.sparkSession.createDataFrame(names, "__bucket int, label int, shard int")
-    return labelled.join(table, ["__bucket", "label"]).select(*keys, "shard")
+    names = [(r["__bucket"], places[i].tolist()) for i, r in enumerate(sums)]
+    table = groups.sparkSession.createDataFrame(names, "__bucket int, shards array<int>")
+    return labelled.join(table, "__bucket").select(*keys, F.get("shards", F.col("label")).alias("shard"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, bucket_rows: int = BUCKET) -> DataFrame:

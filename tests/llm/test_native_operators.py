@@ -111,8 +111,8 @@ def slow_items(docs, items, width=5, threshold=0.8):
     return sorted(((str(d), str(i), *v) for (d, i), v in best.items()))
 
 
-@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
-def test_items_against_brute_force(spark, broadcast_rows):
+@pytest.mark.parametrize("broadcast_bytes", [8 << 20, 0])
+def test_items_against_brute_force(spark, broadcast_bytes):
     rng = random.Random(4)
     word = lambda: rng.choice("aa bb cc dd ee ff gg hh".split())
     items = [(i, " ".join(word() for _ in range(rng.randrange(3, 40)))) for i in range(25)] + [(None, "null id of five words or so"), (3, "second text of item three is this"), (90, None), (91, " \n"), (92, "One")]
@@ -128,7 +128,7 @@ def test_items_against_brute_force(spark, broadcast_rows):
     docs += [(None, items[0][1]), (70, None), (71, ""), (72, "one"), (5, docs[5][1]), (5, items[2][1]), (73, "y " * 30_000 + items[1][1])]
     table = spark.createDataFrame([(*x, "c", 1) for x in items], "item_id long, text string, mark string, w int")
     d = docs_of(spark, docs)
-    got = decontam.find_items(d, table, broadcast_rows=broadcast_rows).collect()
+    got = decontam.find_items(d, table, broadcast_bytes=broadcast_bytes).collect()
     assert sorted((str(r["doc_id"]), str(r["item_id"]), r["containment"], r["n_shingles"], r["n_shared"]) for r in got) == slow_items(docs, items)
     hit = {r["doc_id"] for r in got}
     assert sorted(str(r["doc_id"]) for r in decontam.remove_contaminated(d, table).collect()) == sorted(str(x) for x, _ in docs if x not in hit)
