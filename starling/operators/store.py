@@ -4,6 +4,7 @@ Layout of a folder that driver and executors share:
 
     base/v=<n>/part=<p>/...   the rows of version n
     changes/                  change rows with seq
+    graph/v=<n>/              the proximity graphs of version n, if build_index() was called
     CURRENT/                  one text file: version and the seq up to which it holds all changes
 
 A writer publishes a version by replacing CURRENT; readers that opened the previous version keep it. One writer at a time.
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import NotFound, ValidationError, check_dimension
+from ..errors import NotFound, ValidationError, check_count, check_dimension
 from ..schema import CHANGES, PARTITIONS, VECTORS, part_of
 from ..sources import files
 from . import overlay, search, stats
@@ -143,12 +144,25 @@ class VectorStore:
         """Missing ids are silently absent."""
         return self.rows().join(ids.select("id").distinct(), "id")
 
+    def build_index(self, **options) -> None:
+        """The graphs of the current version. Searches with the graph engine use them; later changes are searched exactly
+        until the next version is built."""
+        version, _ = self._current()
+        search.graph_index(self.base(), self.partitions, **options).write.mode("overwrite").parquet(f"{self.path}/graph/v={version}")
+
     def search(self, queries: DataFrame, k: int | None = None, engine: str = "exact", **options) -> DataFrame:
         """Base without tombstones and pending by the engine, pending exactly."""
         bad = queries.where(F.col("vector").isNull() | (F.size("vector") != self.dim)).select(F.size("vector").alias("n")).first()
         if bad is not None:
             check_dimension(bad["n"], self.dim)
         last = overlay.latest(self.changes())
+        version, _ = self._current()
+        if engine == "graph" and self._exists(f"graph/v={version}"):
+            k = check_count(k)
+            index = self.spark.read.schema(search.GRAPH).parquet(f"{self.path}/graph/v={version}")
+            pending = last.where("op = 'PUT'").select("id", "vector")
+            found = [search.search_graph(index, queries, k, exclude=last, **options), search.exact(pending, queries, k)]
+            return search.hydrate(search.merge([f.drop("position") for f in found], k), self.rows(), k)
         base = search.without(self.base().drop("part"), last)
         pending = last.where("op = 'PUT'").select("id", "vector", "url", "metadata")
         return search.search(base, queries, k, engine, delta=pending, **options)

@@ -86,10 +86,14 @@ def test_store(spark, tmp_path):
     assert coverage.first()["coverage"] == 1.0
     with pytest.raises(ValidationError):
         s.search(spark.createDataFrame([(0, [1.0])], "query_id long, vector array<float>"), 1)
+    s.build_index(m=4)
+    assert [r["id"] for r in s.search(q, 5, "graph").orderBy("position").collect()] == [r["id"] for r in s.search(q, 5).orderBy("position").collect()]
+    s.delete(9)
+    assert [r["id"] for r in s.search(q, 5, "graph").collect()] == [1]
     s.export_csv(str(tmp_path / "csv"))
     s.clear()
     assert s.rows().count() == 0
-    assert s.load_csv(str(tmp_path / "csv")) == 9 and s.rows().count() == 2
+    assert s.load_csv(str(tmp_path / "csv")) == 1 and s.rows().count() == 1
 
 
 def _log(spark, n, seed):
