@@ -3,7 +3,7 @@
 A line's key is the line stripped of `[\\x20\\x09-\\x0D]` at both ends and lower-cased in A-Z. Keys of at least min_chars code
 points that at least min_docs documents hold lose their lines in all documents but the one with the largest doc_id.
 
-How: a key is a 128-bit hash. (1) Occurrences are counted per key from distinct (key, document) pairs with map-side
+How: a key is a 128-bit hash; texts are cut once, and what follows reads a table of hashes. (1) Occurrences are counted per key from distinct (key, document) pairs with map-side
 combining; keys of at least min_docs documents remain, with the largest doc_id. (2) Keys with more than a 1/HOT share of the
 shared lines are hot; there can be at most HOT of them, so that table (32 bytes a row) is broadcast and hot lines are decided
 where they are. (3) All other lines are range-partitioned by hash with a secondary sort by document and position, and a
@@ -49,7 +49,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, hot: i
         "doc_id", text_mark(F.col("text")).alias("text_mark"), F.posexplode(F.transform(split_lines(F.col("text")), line_key)).alias("pos", "key")
     ).where(F.length("key") >= min_chars)
     h1, h2 = hash128(F.col("key"))
-    lines = lines.select("doc_id", "text_mark", "pos", h1.alias("h1"), h2.alias("h2"))
+    # read four times below (counts, hot lines, the sample of the range partitioning, cold lines); a tenth of the text
+    lines = materialize(lines.select("doc_id", "text_mark", "pos", h1.alias("h1"), h2.alias("h2")), "line-hashes")
     held = lines.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
     shared = materialize(held.where(F.col("n_docs") >= min_docs), "line-counts")
     total = shared.agg(F.sum("n_docs")).first()[0] or 0
