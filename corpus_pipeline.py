@@ -29,17 +29,18 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest doc_id; of repeated rows one."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    stays = materialize(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("fp")), "stays")
-    s = stays.select(F.col("component_id").alias("__id")).distinct()
-    kept = docs.join(s, docs["doc_id"].eqNullSafe(s["__id"]), "left_semi")
-    # rows that share the smallest id: the first by its columns
-    repeated = kept.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id"))
-    single = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["__id"]), "left_anti")
-    several = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["__id"]), "left_semi")
-    one = several.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("x")).select("doc_id", "x.text", "x.lang", "x.source", "x.n_chars")
-    return single.select(*COLUMNS).unionAll(one.select(*COLUMNS))
+    """Of each component of near-duplicates the document with the smallest doc_id (nulls last, then by a hash of the text); of
+    rows that repeat it one."""
+    marked = docs.select(*COLUMNS, line_dedup.text_mark(F.col("text")).alias("__mark"))
+    found = simhash.near_duplicates(marked.select("doc_id", "text", "__mark"), carry=("__mark",))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__mark")).alias("x"))
+    stays = materialize(first.select(F.col("x.doc_id").alias("__id"), F.col("x.__mark").alias("__m")), "stays")
+    kept = marked.join(stays, marked["doc_id"].eqNullSafe(stays["__id"]) & (marked["__mark"] == stays["__m"]), "left_semi")
+    again = kept.groupBy("doc_id", "__mark").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("__mark").alias("__m"))
+    again = materialize(again, "repeated")
+    same = kept["doc_id"].eqNullSafe(again["__id"]) & (kept["__mark"] == again["__m"])
+    one = kept.join(again, same, "left_semi").groupBy("doc_id", "__mark").agg(F.min(F.struct(*COLUMNS[1:])).alias("x"))
+    return kept.join(again, same, "left_anti").select(*COLUMNS).unionAll(one.select("doc_id", *[F.col(f"x.{c}").alias(c) for c in COLUMNS[1:]]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

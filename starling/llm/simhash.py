@@ -55,15 +55,16 @@ def fingerprint(raw: bytes | None, width: int = 4) -> int:
     return int(np.packbits(ones * 2 > len(values), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, carried columns): the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x, width) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *carry])
 
-    return docs.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    raw = docs.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8").alias("text"), *carry)
+    return raw.mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"`{n}` {t}" for n, t in docs.select(*carry).dtypes]]))
 
 
 def trie_links(fps: np.ndarray, budget: int) -> list[tuple[int, int]]:
@@ -198,15 +199,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
-    digests = materialize(fingerprints(docs, width), "simhash")
+def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp, component_id, root, carried columns) of every row; root, a fingerprint, tells components apart even where
+    ids are null or repeated."""
+    digests = materialize(fingerprints(docs, width, carry), "simhash")
     groups = materialize(digests.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
     labels = components(links(groups, budget))
-    in_groups = groups.join(labels, groups["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    ids = in_groups.groupBy(F.col("label").alias("of")).agg(F.min("first").alias("component_id"))
-    named = materialize(in_groups.join(ids, F.col("label") == F.col("of")).select("fp", "component_id"), "simhash-components")
-    return digests.join(named, "fp").select("doc_id", "fp", "component_id")
+    in_groups = groups.join(labels, groups["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("root"))
+    ids = in_groups.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("component_id"))
+    named = materialize(in_groups.join(ids, F.col("root") == F.col("of")).select("fp", "component_id", "root"), "simhash-components")
+    return digests.join(named, "fp").select("doc_id", "fp", "component_id", "root", *carry)
 
 
 def hex_digits(fp: Column) -> Column:
