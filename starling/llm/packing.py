@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, ranked
 
-#: Strings cached per worker, some 150 MB.
-CACHE = 800_000
+#: Strings cached per worker, some 250 MB.
+CACHE = 1_400_000
 #: Texts whose new strings are looked up together.
 TOGETHER = 128
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
