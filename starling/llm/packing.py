@@ -19,7 +19,9 @@ empty table gives an empty result; other columns play no part; a null doc_id is
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,16 @@ TOGETHER = 128
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter by which a byte-level vocabulary writes each byte: printable ones as they are, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
 class Encoder:
     """Ids of texts as little-endian uint32 bytes, equal to Tokenizer.encode(text, add_special_tokens=False)."""
 
@@ -46,7 +58,7 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         newline = self.encode_whole("\n")
         pieces = str(self.tokenizer.pre_tokenizer)
-        self.cuts = len(newline) == 4 and "ByteLevel" in pieces and "Sequence" not in pieces and "add_prefix_space=False" in pieces and self.tokenizer.normalizer is None
+        self.cuts = sys.byteorder == "little" and array("I").itemsize == 4 and len(newline) == 4 and "ByteLevel" in pieces and "Sequence" not in pieces and "add_prefix_space=False" in pieces and self.tokenizer.normalizer is None
         self.newline = newline
         self.marks = {x: self.encode_whole(x) for x in ",."}
         self.first: dict[str, bytes] = {}  # a line's first stretch, without a space before it
@@ -89,12 +101,18 @@ class Encoder:
     def _learn(self, into: dict[str, bytes], new: set[str], before: str) -> None:
         # a comma or full stop after a letter is a piece of its own
         ends = {x for x in new if x[-1] in ",." and len(x) > 1 and x[-2].isalpha()}
-        bases = [x for x in (new - ends) | {x[:-1] for x in ends} if x not in into]
-        if bases:
-            ids = np.frombuffer(self.encode_whole("\n".join([before + x for x in bases])), "<u4")
+        bases = {x for x in (new - ends) | {x[:-1] for x in ends} if x not in into}
+        # Latin letters only: one piece of the pre-tokeniser, which goes to the model as it is
+        plain = {x for x in bases if x.isalpha() and (x.isascii() or max(x) < "\u0250")}
+        merge = self.tokenizer.model.tokenize
+        for x in plain:
+            into[x] = array("I", [t.id for t in merge((before + x).encode().decode("latin-1").translate(BYTE_LETTERS))]).tobytes()
+        rest = list(bases - plain)
+        if rest:
+            ids = np.frombuffer(self.encode_whole("\n".join([before + x for x in rest])), "<u4")
             cuts = np.flatnonzero(ids == np.frombuffer(self.newline, "<u4")[0]).tolist()
             raw = ids.tobytes()
-            into.update(zip(bases, [raw[4 * a : 4 * b] for a, b in zip([0] + [c + 1 for c in cuts], cuts + [len(ids)], strict=True)], strict=True))
+            into.update(zip(rest, [raw[4 * a : 4 * b] for a, b in zip([0] + [c + 1 for c in cuts], cuts + [len(ids)], strict=True)], strict=True))
         for x in ends:
             into[x] = into[x[:-1]] + self.marks[x[-1]]
 
