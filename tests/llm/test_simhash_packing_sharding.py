@@ -127,9 +127,7 @@ def test_packing_round_trip(spark):
     path = tokenizer_path()
     placed = packing.pack_documents(docs, path).cache()
     rows = placed.collect()
-    e = packing.Encoder(path)
-    want = sorted((r[0] or -1, zlib.crc32(e.encode_whole(r[1] or "")[-3 * 4 :])) for r in ODD)
-    assert len({(r[0], r[1]) for r in ODD}) == len({r["doc_id"] for r in rows}) and want
+    assert {r[0] for r in ODD} == {r["doc_id"] for r in rows}
     by = {}
     for r in rows:
         by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
