@@ -2,16 +2,15 @@
 
 Tokens are the words `[^\\x20\\x09-\\x0D]+` of the whole text lower-cased in A-Z, then one end token. The model is an n-gram
 model (`order` 3) with absolute discounting that backs off to the smoothed unigrams (c + 0.5) / (N + 0.5 (V + 1)), so its
-probabilities over known tokens and one unknown sum to 1. Histories that continue become states; an arc gives a token's
-log-probability and the next state; a failure arc gives the backoff weight and a shorter history. One left-to-right traversal
-of a text carries the state and adds up.
+probabilities over known tokens and one unknown sum to 1. Histories that continue are the states; an arc gives a token's
+log-probability and the next state; a failure arc gives the backoff weight and a shorter history.
 
-How: all training tokens are counted, by 64-bit word hash, with combining before the shuffle. The n-grams of the automaton are
-those with at least N / NGRAMS occurrences (N / VOCABULARY for single words), at every size of corpus: by counting there are at
-most NGRAMS of each order (and VOCABULARY words), so the automaton has a fixed bound and is sent to all workers. An n-gram
-reaches that count only if its parts do, so each order is counted among the survivors of the one below, exactly. Rarer words
-always leave the automaton by failure arcs; their unigram terms are added by a join of (document, word) with the full counts,
-none of which is frequent, so no key is hot.
+How: every n-gram of the training documents is in the model (`ngram_bound` can leave out rare ones), so the model grows with the
+corpus and lies in tables, dealt by 64-bit hashes. Texts are cut into words once, into slices of about SLICE_TOKENS that hold their
+distinct words. For each order a slice asks for its distinct n-grams, with their occurrences in its training documents; a task that
+holds all requests for a share of the histories adds them up and answers with the counts and backoff weights, which the slice
+needs for the next order. A key comes once from a slice, and a history with more than HISTORY occurrences is dealt further by the
+last word; only the partial sums of such histories, at most N / HISTORY of them for each order, meet on the driver.
 
 Defined cases: null and empty texts have the end token only; without training documents N and V are 0 and every token has
 probability 1; a null doc_id is held out; repeated rows are scored each; an empty table gives an empty result; other columns
@@ -21,13 +20,12 @@ play no part.
 from __future__ import annotations
 
 import uuid
-from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
-from itertools import chain, compress
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,10 +36,11 @@ VOCABULARY = 1 << 20
 NGRAMS = 1 << 16
 DISCOUNT = 0.75
 SEED = 42
-#: Words whose ids a worker remembers, and distinct words that it counts before it hands them on.
-REMEMBERED = 200_000
-#: Texts taken together, and distinct n-grams that a worker counts before it hands them on.
-SLICE, HELD = 250, 500_000
+#: Tokens of a slice, n-grams that a task adds up at once, and occurrences of a history above which it is dealt further.
+SLICE_TOKENS, REQUESTS, HISTORY = 1_000_000, 1_000_000, 500_000
+#: Turns in which the requests of an order are sent, so that fewer are on disk at once.
+TURNS = {2: 1, 3: 2}
+START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 NONE = -1
 
 
@@ -53,310 +52,292 @@ def tokens(raw: bytes | None) -> list[bytes]:
     return (raw or b"").lower().split()
 
 
-def word_hashes(words: Iterable[bytes]) -> np.ndarray:
-    """64-bit hashes as signed longs."""
-    h = xxhash.xxh64_intdigest
-    return np.array([h(w, SEED) for w in words], np.uint64).view(np.int64)
+class _Places(dict):
+    """word -> place by first occurrence."""
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-@dataclass
-class Vocabulary:
-    """Words above the bound: ids 0.. by falling count; the first `grams` of them may be in n-grams."""
 
-    hashes: np.ndarray  # sorted
-    ids: np.ndarray  # of the sorted hashes
-    counts: np.ndarray  # by id
-    grams: int
-    docs: int
-    n: int
-    v: int
+SLICES = "slice long, n_tokens long, n_words long, doc_ids array<long>, lengths binary, train binary, words binary, places binary"
 
-    @property
-    def start(self) -> int:
-        return len(self.counts)
 
-    @property
-    def end(self) -> int:
-        return len(self.counts) + 1
-
-    @property
-    def width(self) -> int:
-        return len(self.counts) + 2
-
-    def log_p(self) -> np.ndarray:
-        """Base log10 probabilities by id; the start has none."""
-        c = np.r_[self.counts, 0, self.docs]
-        return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
-
-
-class Ids(dict):
-    """word -> id, NONE for rare words; remembers up to REMEMBERED beside those of the last texts."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-
-    def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """Ids of each text's words; new words are looked up together."""
-        distinct = set().union(*texts)
-        new = [w for w in distinct if w not in self]
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(distinct)
-        if new and len(self.v.hashes):
-            h = word_hashes(new)
-            at = np.minimum(np.searchsorted(self.v.hashes, h), len(self.v.hashes) - 1)
-            self.update(zip(new, np.where(self.v.hashes[at] == h, self.v.ids[at], NONE).tolist()))
-        else:
-            self.update(dict.fromkeys(new, NONE))
-        return [np.fromiter(map(self.__getitem__, words), np.int64, len(words)) for words in texts]
-
-
-def _raw(docs: DataFrame) -> DataFrame:
-    return docs.select(F.encode("text", "UTF-8").alias("text"))
-
-
-def count_words(train: DataFrame) -> DataFrame:
-    """(h, c) of all words of the training documents."""
+def cut(docs: DataFrame, train: Column) -> DataFrame:
+    """Slices: documents with their lengths and whether they are learned from, hashes of distinct words, words of all texts by place."""
+    limit = SLICE_TOKENS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        known, held, ids, train, n = _Places(), [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(word_hashes(seen)), pa.array(list(seen.values()), pa.int64())], ["h", "c"])
-            seen.clear()
-            return made
+            h = xxhash.xxh64_intdigest
+            words = np.fromiter((h(w, SEED) for w in known), np.uint64, len(known))
+            lengths = np.array([len(x) for x in held], np.int32)
+            row = [uuid.uuid4().int >> 65, int(lengths.sum()), len(known), ids, lengths.tobytes(), np.array(train, bool).tobytes(), words.tobytes(), _packed(np.concatenate(held))]
+            names = ["slice", "n_tokens", "n_words", "doc_ids", "lengths", "train", "words", "places"]
+            types = [pa.int64()] * 3 + [pa.list_(pa.int64())] + [pa.binary()] * 4
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
 
         for b in batches:
-            for raw in b.column(0):
-                seen.update(tokens(raw.as_py()))
-                if len(seen) > REMEMBERED:
+            for doc_id, raw, use in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
+                words = tokens(raw.as_py())
+                held.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+                ids.append(doc_id)
+                train.append(use)
+                n += len(words) + 1
+                if n >= limit:
                     yield out()
-        yield out()
-
-    return _raw(train).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-def vocabulary(counts: DataFrame, docs: int, bound: int = VOCABULARY, gram_bound: int = NGRAMS) -> Vocabulary:
-    words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n, v = int(words) + docs, distinct + (docs > 0)
-    top = counts.where(F.col("c") >= n / bound).toArrow()  # at most `bound` rows
-    h, c = top["h"].to_numpy(), top["c"].to_numpy()
-    order = np.lexsort((h, -c))
-    ids = np.empty(len(h), np.int64)
-    ids[order] = np.arange(len(h))
-    by_hash = np.argsort(h)
-    return Vocabulary(h[by_hash], ids[by_hash], c[order].astype(np.int64), int((c >= n / gram_bound).sum()), docs, n, v)
-
-
-def _sequences(b: pa.RecordBatch, ids: Ids) -> np.ndarray:
-    """start, ids, end of each text, one after another."""
-    ends = [np.array([ids.v.start]), np.array([ids.v.end])]
-    texts = ids.of([tokens(raw.as_py()) for raw in b.column(0)])
-    return np.concatenate([x for t in texts for x in (ends[0], t, ends[1])]) if texts else np.zeros(0, np.int64)
-
-
-def _find(keys: np.ndarray, sorted_keys: np.ndarray) -> np.ndarray:
-    """Places in sorted_keys, NONE where missing."""
-    if not len(sorted_keys):
-        return np.full(len(keys), NONE)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, NONE)
-
-
-def _pairs(seq: np.ndarray, v: Vocabulary) -> np.ndarray:
-    """Bigram keys by position of the first token, NONE unless both tokens may be in n-grams."""
-    a, b = seq[:-1], seq[1:]
-    ok = ((a >= 0) & (a < v.grams) | (a == v.start)) & ((b >= 0) & (b < v.grams) | (b == v.end))
-    return np.where(ok, a * v.width + b, NONE)
-
-
-def count_ngrams(train: DataFrame, v: Vocabulary, bigrams: np.ndarray | None = None, bound: int = NGRAMS) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and counts of the n-grams with at least N / bound occurrences: bigrams (first word, second word) or, given
-    those, trigrams (place of the first bigram, third word)."""
-    shared = train.sparkSession.sparkContext.broadcast((v, bigrams))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, bigrams = shared.value
-        ids = Ids(v)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([c for _, c in held]), minlength=len(keys)).astype(np.int64)
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], ["key", "c"])
-
-        for b in batches:
-            for i in range(0, b.num_rows, SLICE):
-                keys = _pairs(_sequences(b.slice(i, SLICE), ids), v)
-                if bigrams is not None:
-                    places = np.where(keys >= 0, _find(keys, bigrams), NONE)
-                    both = (places[:-1] >= 0) & (places[1:] >= 0)
-                    keys = np.where(both, places[:-1] * v.width + keys[1:] % v.width, NONE)
-                held.append(np.unique(keys[keys >= 0], return_counts=True))
-                if sum(len(k) for k, _ in held) > 2 * HELD:
-                    held[:] = [merged()]
-                    if len(held[0][0]) > HELD:
-                        yield out()
-                        held.clear()
+                    known, held, ids, train, n = _Places(), [], [], [], 0
         if held:
             yield out()
 
-    counted = _raw(train).mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-    got = materialize(counted.where(F.col("c") >= v.n / bound), "ngrams").toArrow()  # at most `bound` rows
-    key, c = got["key"].to_numpy(), got["c"].to_numpy()
-    order = np.argsort(key)
-    return key[order].astype(np.int64), c[order].astype(np.int64)
-
-
-@dataclass
-class Automaton:
-    """State 0 has the empty history. Arcs leave other states by key state * width + word; fail and weight belong to states."""
-
-    v: Vocabulary
-    keys: np.ndarray
-    log_p: np.ndarray
-    next: np.ndarray
-    fail: np.ndarray
-    weight: np.ndarray
-    word_state: np.ndarray
-
-    def runner(self) -> Runner:
-        return Runner(self)
-
-
-class Runner:
-    """The automaton as dictionaries and lists, for one worker."""
-
-    def __init__(self, a: Automaton):
-        self.arcs = dict(zip(a.keys.tolist(), range(len(a.keys))))
-        self.log_p, self.next = a.log_p.tolist(), a.next.tolist()
-        self.fail, self.weight = a.fail.tolist(), a.weight.tolist()
-        self.base = a.v.log_p().tolist()
-        self.word_state = a.word_state.tolist()
-        self.start, self.width = self.word_state[a.v.start], a.v.width
-
-    def score(self, ids: list[int]) -> float:
-        """Log10 probability of tokens, without the unigram terms of rare ones (NONE)."""
-        arcs, log_p, following, fail, weight, base, word_state, width = self.arcs, self.log_p, self.next, self.fail, self.weight, self.base, self.word_state, self.width
-        total, state = 0.0, self.start
-        for w in ids:
-            if w >= 0:
-                while state:
-                    arc = arcs.get(state * width + w)
-                    if arc is not None:
-                        total += log_p[arc]
-                        state = following[arc]
-                        break
-                    total += weight[state]
-                    state = fail[state]
-                else:
-                    total += base[w]
-                    state = word_state[w]
-            else:
-                while state:
-                    total += weight[state]
-                    state = fail[state]
-        return total
-
-
-def build(v: Vocabulary, bigrams: tuple[np.ndarray, np.ndarray], trigrams: tuple[np.ndarray, np.ndarray]) -> Automaton:
-    (k2, c2), (k3, c3) = bigrams, trigrams
-    uni = 10 ** v.log_p()
-    first, second = k2 // v.width, k2 % v.width
-    history = np.r_[v.counts, v.docs, 0]
-    p2 = (c2 - DISCOUNT) / np.maximum(history[first], 1)
-    b3, third = k3 // v.width, k3 % v.width
-    p3 = (c3 - DISCOUNT) / np.maximum(c2[b3], 1)
-    ones, twos = np.unique(first), np.unique(b3)
-    word_state = np.zeros(v.width, np.int64)
-    word_state[ones] = 1 + np.arange(len(ones))
-    pair_state = np.zeros(len(k2), np.int64)
-    pair_state[twos] = 1 + len(ones) + np.arange(len(twos))
-    states = 1 + len(ones) + len(twos)
-
-    def state_after(pair: np.ndarray, word: np.ndarray) -> np.ndarray:
-        longer = np.where(pair >= 0, pair_state[pair] if len(k2) else 0, 0)
-        return np.where(longer > 0, longer, word_state[word])
-
-    short = _find(second[b3] * v.width + third, k2)  # a trigram's last two words; kept, as all parts of a kept n-gram are
-    owner2, owner3 = word_state[first], pair_state[b3]
-    left = 1 - np.bincount(owner2, p2, minlength=states) - np.bincount(owner3, p3, minlength=states)
-    below = 1 - np.bincount(owner2, uni[second], minlength=states) - np.bincount(owner3, p2[short], minlength=states)
-    weight = np.log10(np.maximum(left, 1e-12) / np.maximum(below, 1e-12))
-    weight[0] = 0
-    fail = np.zeros(states, np.int64)
-    fail[pair_state[twos]] = word_state[second[twos]]
-    return Automaton(
-        v, np.r_[owner2 * v.width + second, owner3 * v.width + third], np.log10(np.r_[p2, p3]),
-        np.r_[state_after(np.arange(len(k2)), second), state_after(short, third)], fail, weight, word_state,
-    )
-
-
-#: Of this worker: an automaton's name and what was made from it.
-_runner: list = []
-
-
-def _prepared(name: str, a: Automaton) -> list:
-    if _runner[:1] != [name]:  # one at a time for each worker
-        _runner[:] = [name, a.runner(), Ids(a.v), a.v.log_p()]
-    return _runner
-
-
-def score_documents(docs: DataFrame, train: Column | None = None, vocabulary_bound: int = VOCABULARY, ngram_bound: int = NGRAMS) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; the rows where `train` is true are learned from."""
-    spark = docs.sparkSession
-    own = docs.select("doc_id", "text")
-    learn = own.where(F.lit(True) if train is None else train)
-    counts = materialize(count_words(learn), "word-counts")
-    v = vocabulary(counts, learn.count(), vocabulary_bound, ngram_bound)
-    bigrams = count_ngrams(learn, v, None, ngram_bound)
-    model = build(v, bigrams, count_ngrams(learn, v, bigrams[0], ngram_bound))
-    shared = spark.sparkContext.broadcast(model)
-    made = uuid.uuid4().hex
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = shared.value
-        _, runner, ids, base = _prepared(made, a)
-        end = a.v.end
-        kinds = pa.struct([("rows", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-        names = ["doc_id", "mark", "h", "tf", "sums"]
-        for whole in batches:
-            for i in range(0, whole.num_rows, SLICE):
-                b = whole.slice(i, SLICE)
-                raws = [x or b"" for x in b.column(1).to_pylist()]
-                texts = [tokens(x) for x in raws]
-                rare: list[Counter] = []
-                sums = []
-                for words, got in zip(texts, ids.of(texts)):
-                    of = np.append(got, end)
-                    known = of >= 0
-                    rare.append(Counter(compress(words, (~known).tolist())))
-                    listed = int(known.sum()) - (a.v.docs == 0)
-                    sums.append((1, len(of), listed, float(base[of[known]].sum()), runner.score(of.tolist())))
-                digests = np.array([xxhash.xxh64_intdigest(x) for x in raws], np.uint64)
-                marks = pa.array((digests & np.uint64(0x7FFFFFFF)).astype(np.int32))
-                own = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*sums), kinds)], fields=list(kinds))
-                yield pa.RecordBatch.from_arrays([b.column(0), marks, pa.array((digests >> np.uint64(1)).astype(np.int64)), pa.array(np.zeros(len(raws), np.int32)), own], names)
-                h = word_hashes(chain.from_iterable(rare))
-                tf = np.fromiter(chain.from_iterable(c.values() for c in rare), np.int32, len(h))
-                doc = pa.array(np.repeat(np.arange(len(raws)), [len(c) for c in rare]))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(doc), marks.take(doc), pa.array(h), pa.array(tf), pa.nulls(len(h), kinds)], names)
-
-    schema = "doc_id long, mark int, h long, tf int, sums struct<rows:int,n_tokens:long,n_known:long,base:double,score:double>"
-    raw = own.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8").alias("text")).mapInArrow(run, schema)
-    # a row per document with its sums, under a hash of its own, and a row per rare word of it
-    met = raw.join(counts, "h", "left")
-    rare = F.col("tf") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(v.n + 0.5 * (v.v + 1)))
-    added = met.groupBy("doc_id", "mark").agg(
-        F.sum("sums.rows").alias("rows"),
-        F.sum("sums.n_tokens").alias("n_tokens"),
-        (F.coalesce(F.sum("sums.n_known"), F.lit(0)) + F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("tf"))), F.lit(0))).alias("n_known"),
-        (F.sum("sums.base") + F.sum(rare)).alias("base_score"),
-        (F.sum("sums.score") + F.sum(rare)).alias("score"),
-    )
-    # equal rows have been added up
-    each = added.select("*", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy"))
-    count = lambda c: (F.col(c) / F.col("rows")).cast("long").alias(c)
-    return each.select("doc_id", count("n_tokens"), count("n_known"), F.lit(v.n).cast("long").alias("train_tokens"), (F.col("base_score") / F.col("rows")).alias("base_score"), (F.col("score") / F.col("rows")).alias("score"))
+    own = docs.select(F.col("doc_id").cast("long"), F.encode("text", "UTF-8").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    return own.mapInArrow(run, SLICES)
+
+
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64-bit hashes of pairs of hashes."""
+    x = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + b
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns compressed byte by byte place, as counts are mostly small; hashes repeat as they are."""
+    return pa.compress(b"".join(x.tobytes() if x.dtype == np.uint64 else x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes() for x in columns), codec="zstd", asbytes=True)
+
+
+def _unpacked(raw: bytes, n: int, *types: type) -> list[np.ndarray]:
+    size = n * sum(np.dtype(t).itemsize for t in types)
+    whole, at, out = np.frombuffer(pa.decompress(raw, size, codec="zstd", asbytes=True), np.uint8), 0, []
+    for t in types:
+        wide = np.dtype(t).itemsize
+        part = whole[at : at + n * wide]
+        out.append(part.view(t) if t == np.uint64 else np.ascontiguousarray(part.reshape(wide, n).T).reshape(-1).view(t))
+        at += n * wide
+    return out
+
+
+def _unpacked_all(rows: pa.Table, *types: type) -> list[np.ndarray]:
+    """The columns of all rows, one after another."""
+    parts = [_unpacked(raw.as_py(), n, *types) for raw, n in zip(rows["body"], rows["size"].to_pylist())]
+    return [np.concatenate([np.zeros(0, t), *(p[i] for p in parts)]) for i, t in enumerate(types)]
+
+
+#: A request's history, 40 bits of its last word, and counts: its own, its history's and those that give the shorter probability.
+REQUEST = {"history": np.uint64, "low": np.uint32, "high": np.uint8, "k": np.uint32, "total": np.uint32, "above": np.uint32, "below": np.uint32}
+WORD = {"history": np.uint64, "k": np.uint32}
+REPLY = "level int, bucket int, slice long, size int, body binary, n long, v long, shared binary"
+#: Of the sums of a history: its key, the probability given to its continuations, and what the shorter history gives them.
+SUMS = np.dtype([("history", np.uint64), ("given", np.float64), ("lower", np.float64)])
+
+
+def _buckets(history: np.ndarray, low: np.ndarray, total: np.ndarray, level: int, n: int, most: int) -> np.ndarray:
+    if level == 1:
+        return (_mix(history, END) % np.uint64(n)).astype(np.int32)
+    parts = 1 + total.astype(np.uint64) // np.uint64(most)
+    return (_mix(history, low.astype(np.uint64) % parts) % np.uint64(n)).astype(np.int32)
+
+
+class Slice:
+    """The n-grams of a slice, and what is known of them from the replies so far."""
+
+    def __init__(self, t: pa.Table, replies: pa.Table, model: dict):
+        row = t.to_pylist()[0]
+        self.id, self.doc_ids, self.model = row["slice"], row["doc_ids"], model
+        words, lengths = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["lengths"], np.int32)
+        start, end = len(words), len(words) + 1
+        self.hash = np.r_[words, START, END]
+        # start, words, end of each text, one after another
+        self.first = np.cumsum(np.r_[0, lengths + 2])[:-1]
+        at = np.ones(int((lengths + 2).sum()), bool)
+        at[self.first] = at[self.first + lengths + 1] = False
+        self.seq = np.full(len(at), end, np.int64)
+        self.seq[at] = _unpacked(row["places"], row["n_tokens"], np.int32)[0]
+        self.seq[self.first] = start
+        self.doc = np.repeat(np.arange(len(lengths)), lengths + 2)
+        self.use = np.frombuffer(row["train"], bool)[self.doc]
+        self.real = np.ones(len(at), bool)
+        self.real[self.first] = False
+        self.replies = replies
+        self.count = self.weight = None
+
+    def heard(self, level: int, order: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and log10 weights of the n requests of a level, which were sent in this order."""
+        mine = self.replies.filter(pa.compute.equal(self.replies["level"], level)).sort_by("bucket")
+        c, weight = np.zeros(n, np.int64), np.zeros(n)
+        c[order], weight[order] = _unpacked_all(mine, np.int64, np.float64)
+        return c, weight
+
+    def request(self, level: int) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
+        """Columns of the requests, their buckets, the order in which they are sent, and the n-grams they are for."""
+        m = self.model
+        if level == 1:
+            words = len(self.hash) - 2
+            k = np.bincount(self.seq[self.use & self.real & (self.seq < words)], minlength=words)
+            q = {"history": self.hash[:words], "low": None, "total": None, "k": k}
+            of = np.arange(words)
+        elif level == 2:
+            q, of = self.bigrams()
+        else:
+            q, of = self.trigrams()
+        bucket = _buckets(q["history"], q["low"], q["total"], level, m["buckets"][level], m["most"])
+        order = np.argsort(bucket, kind="stable")
+        return q, bucket, order, of
+
+    def last(self, w: np.ndarray) -> dict:
+        h = self.hash[w]
+        return {"low": (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), "high": (h >> np.uint64(56)).astype(np.uint8)}
+
+    def words_known(self) -> None:
+        _, _, order, of = self.request(1)
+        docs = self.model["docs"]
+        self.c1 = np.r_[self.heard(1, order, len(of))[0], docs, docs]  # the start's is a history's total
+        self.base = np.log10((self.c1 + 0.5) / (self.model["n"] + 0.5 * (self.model["v"] + 1)))
+
+    def bigrams(self) -> tuple[dict, np.ndarray]:
+        """Distinct bigrams (v, w); asked for where v is known."""
+        self.words_known()
+        at = np.flatnonzero(self.real)
+        keys, self.pair = np.unique(self.seq[at - 1] * len(self.hash) + self.seq[at], return_inverse=True)
+        k = np.bincount(self.pair, self.use[at], len(keys))
+        self.v, self.w = keys // len(self.hash), keys % len(self.hash)
+        self.pair_hash = _mix(self.hash[self.v], self.hash[self.w])
+        of = np.flatnonzero(self.c1[self.v] > 0)
+        seen = k[of] > 0
+        q = {"history": self.hash[self.v[of]], **self.last(self.w[of]), "k": k[of], "total": self.c1[self.v[of]], "above": self.c1[self.w[of]] * seen, "below": np.zeros(len(of), np.uint32)}
+        return q, of
+
+    def answers(self, level: int, q: dict, order: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        c, weight = np.zeros(size, np.int64), np.zeros(size)
+        c[of], weight[of] = self.heard(level, order, len(of))
+        hot = self.model["shared"].get(level)
+        if hot is not None and len(hot[0]):
+            at = np.minimum(np.searchsorted(hot[0], q["history"]), len(hot[0]) - 1)
+            weight[of] = np.where((hot[0][at] == q["history"]) & (q["total"] >= self.model["most"]), hot[1][at], weight[of])
+        return c, weight
+
+    def pairs_known(self) -> None:
+        q, _, order, of = self.request(2)
+        self.c2, weight = self.answers(2, q, order, of, len(self.v))
+        kept = self.c2 >= self.model["least"]
+        self.log_p2 = np.where(kept, np.log10(np.maximum(self.c2 - DISCOUNT, 0.01) / np.maximum(self.c1[self.v], 1)), weight + self.base[self.w])
+
+    def trigrams(self) -> tuple[dict, np.ndarray]:
+        """Distinct trigrams (u, v, w), as the place of (u, v) among the bigrams and of (v, w); asked for where (u, v) is in the model."""
+        self.pairs_known()
+        at = np.flatnonzero(self.real)
+        self.longer = np.flatnonzero(self.real[at - 1])  # of the real positions, those with two tokens before
+        keys, first, self.triple = np.unique(self.pair[self.longer - 1] * len(self.hash) + self.seq[at[self.longer]], return_index=True, return_inverse=True)
+        k = np.bincount(self.triple, self.use[at[self.longer]], len(keys))
+        self.uv, self.vw = keys // len(self.hash), self.pair[self.longer[first]]
+        of = np.flatnonzero(self.c2[self.uv] >= self.model["least"])
+        seen = k[of] > 0
+        uv, vw = self.uv[of], self.vw[of]
+        q = {"history": self.pair_hash[uv], **self.last(self.w[vw]), "k": k[of], "total": self.c2[uv], "above": self.c2[vw] * seen, "below": self.c1[self.v[vw]] * seen}
+        return q, of
+
+    def scores(self) -> pa.Table:
+        q, _, order, of = self.request(3)
+        c3, weight = self.answers(3, q, order, of, len(self.uv))
+        kept = c3 >= self.model["least"]
+        log_p3 = np.where(kept, np.log10(np.maximum(c3 - DISCOUNT, 0.01) / np.maximum(self.c2[self.uv], 1)), weight + self.log_p2[self.vw])
+        log_p = self.log_p2[self.pair]
+        log_p[self.longer] = log_p3[self.triple]
+        w, doc, n = self.seq[self.real], self.doc[self.real], len(self.doc_ids)
+        known, base, score = (np.bincount(doc, x, n) for x in (self.c1[w] > 0, self.base[w], log_p))
+        columns = [pa.array(self.doc_ids, pa.int64()), *(pa.array(x.astype(np.int64)) for x in (np.bincount(doc, minlength=n), known)), pa.array(base), pa.array(score)]
+        return pa.table(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+
+def _with_replies(slices: DataFrame, replies: DataFrame, f, schema: str) -> DataFrame:
+    """f(slice row, its replies) of every slice."""
+    empty = pa.schema([pa.field(x, pa.null()) for x in schema.split()[::2]]).empty_table()
+    return slices.groupBy("slice").cogroup(replies.groupBy("slice")).applyInArrow(lambda a, b: f(a, b) if a.num_rows else empty, schema)
+
+
+def ask(slices: DataFrame, replies: DataFrame, level: int, model: dict, turn: int = 0, turns: int = 1) -> DataFrame:
+    """The replies of a level to all slices, those of one of `turns` equal ranges of buckets."""
+    kinds, n = WORD if level == 1 else REQUEST, model["buckets"][level]
+    low, high = n * turn // turns, n * (turn + 1) // turns
+
+    def requests(t: pa.Table, heard: pa.Table) -> pa.Table:
+        s = Slice(t, heard, model)
+        q, bucket, order, _ = s.request(level)
+        to, sizes = np.unique(bucket, return_counts=True)
+        columns = [q[n][order].astype(d) for n, d in kinds.items()]
+        ends = np.cumsum(sizes).tolist()
+        bodies = [_packed(*(x[a:b] for x in columns)) if low <= t < high else None for t, a, b in zip(to.tolist(), [0, *ends], ends)]
+        made = pa.table({"bucket": pa.array(to, pa.int32()), "slice": pa.array(np.full(len(to), s.id), pa.int64()), "size": pa.array(sizes, pa.int32()), "body": pa.array(bodies, pa.binary())})
+        return made.filter(pa.compute.is_valid(made["body"]))
+
+    def add(t: pa.Table) -> pa.Table:
+        q = dict(zip(kinds, _unpacked_all(t, *kinds.values())))
+        q["key"] = q["history"] if level == 1 else _mix(q["history"], q["low"].astype(np.uint64) << np.uint64(8) | q["high"])
+        seen = np.flatnonzero(q["k"])
+        keys, first, at = np.unique(q["key"][seen], return_index=True, return_inverse=True)
+        total = np.bincount(at, q["k"][seen], len(keys)).astype(np.int64)
+        first = seen[first]
+        c, weight, shared = np.zeros(len(q["k"]), np.int64), np.zeros(len(q["k"])), b""
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, q["key"]), len(keys) - 1)
+            c = np.where(keys[at] == q["key"], total[at], 0)
+        kept = total >= model["least"]
+        if level > 1 and kept.any():
+            first, total = first[kept], total[kept]
+            above, below, of = (q[x][first].astype(float) for x in ("above", "below", "total"))
+            lower = (above + 0.5) / (model["n"] + 0.5 * (model["v"] + 1)) if level == 2 else (above - DISCOUNT) / below
+            histories, at = np.unique(q["history"][first], return_inverse=True)
+            sums = np.zeros(len(histories), SUMS)
+            sums["history"], sums["given"], sums["lower"] = histories, np.bincount(at, (total - DISCOUNT) / of), np.bincount(at, lower)
+            at = np.minimum(np.searchsorted(histories, q["history"]), len(histories) - 1)
+            back = (c < model["least"]) & (histories[at] == q["history"])
+            weight = np.where(back, _log_weight(sums)[at], 0)
+            shared = sums[np.isin(histories, q["history"][first][of >= model["most"]])].tobytes()
+        n, ends = t.num_rows, np.cumsum(t["size"].to_numpy()).tolist()
+        once = lambda x, other: [x] + [other] * (n - 1)
+        return pa.table({
+            "level": pa.array([level] * n, pa.int32()), "bucket": t["bucket"], "slice": t["slice"], "size": t["size"], "body": pa.array([_packed(c[a:b], weight[a:b]) for a, b in zip([0, *ends], ends)], pa.binary()),
+            "n": pa.array(once(int(total.sum()), 0), pa.int64()), "v": pa.array(once(len(keys), 0), pa.int64()), "shared": pa.array(once(shared or None, None), pa.binary()),
+        })
+
+    return materialize(_with_replies(slices, replies, requests, "bucket int, slice long, size int, body binary").groupBy("bucket").applyInArrow(add, REPLY), f"lm-{level}")
+
+
+def _log_weight(sums: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum(1 - sums["given"], 1e-12) / np.maximum(1 - sums["lower"], 1e-12))
+
+
+def _shared(replies: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Histories that were dealt further, sorted, and their log10 weights."""
+    parts = np.concatenate([np.zeros(0, SUMS), *(np.frombuffer(r["shared"], SUMS) for r in replies.where("shared IS NOT NULL").select("shared").toLocalIterator())])
+    sums = np.zeros(len(np.unique(parts["history"])), SUMS)
+    sums["history"], at = np.unique(parts["history"], return_inverse=True)
+    for x in ("given", "lower"):
+        sums[x] = np.bincount(at, parts[x], len(sums))
+    return sums["history"], _log_weight(sums)
+
+
+def score_documents(docs: DataFrame, train: Column | None = None, vocabulary_bound: int | None = None, ngram_bound: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; the rows where `train` is true are learned from.
+    By default all their n-grams are; given ngram_bound, those with at least N / ngram_bound occurrences. All words are counted and
+    looked up in the same way, so vocabulary_bound changes nothing."""
+    slices = materialize(cut(docs, F.lit(True) if train is None else train), "lm-slices")
+    size = slices.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n_tokens", "n_words")], F.coalesce(F.sum(F.size("doc_ids")), F.lit(0))).first()
+    bits = slices.select("train").toLocalIterator()
+    learned = sum(int(np.frombuffer(r["train"], bool).sum()) for r in bits)
+    buckets = lambda n: max(1, -(-n // REQUESTS))
+    model = {"docs": learned, "n": 0, "v": 0, "least": 1, "most": HISTORY, "shared": {}, "buckets": {1: buckets(size[1]), 2: buckets(size[0] + size[2]), 3: buckets(size[0])}}
+    replies = ask(slices, docs.sparkSession.createDataFrame([], REPLY), 1, model)
+    n, v = replies.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    model |= {"n": n + learned, "v": v + (learned > 0)}
+    model["least"] = max(1, model["n"] / ngram_bound) if ngram_bound else 1
+    for level in (2, 3):
+        turns = [ask(slices, replies, level, dict(model), i, TURNS[level]) for i in range(TURNS[level])]
+        new = reduce(DataFrame.unionAll, turns)
+        model["shared"] = model["shared"] | {level: _shared(new)}
+        replies = replies.unionAll(new)
+    schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+    scored = _with_replies(slices, replies, lambda t, heard: Slice(t, heard, model).scores(), schema)
+    return scored.select("doc_id", "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"), "base_score", "score")

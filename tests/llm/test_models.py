@@ -76,6 +76,25 @@ def test_lm_against_recursion(spark, bounds):
     assert np.allclose([x[4:] for x in a], [x[4:] for x in b])
 
 
+def test_lm_keeps_ngrams_that_occur_once(spark):
+    docs = docs_of(spark, [(1, "filler " * 70_000), (2, "once only here"), (3, "once only there")])
+    got = {r["doc_id"]: r for r in lm.score_documents(docs, F.col("doc_id") < 3).collect()}
+    assert math.isclose(got[2]["score"], math.log10(0.25 / 2) + 3 * math.log10(0.25))
+    assert got[3]["score"] > got[3]["base_score"]
+
+
+def test_lm_over_many_slices_buckets_and_dealt_histories(spark, monkeypatch):
+    for name, value in (("SLICE_TOKENS", 200), ("REQUESTS", 150), ("HISTORY", 20)):
+        monkeypatch.setattr(lm, name, value)
+    rng = random.Random(2)
+    rows = [(i, " ".join(["the of"] * (i % 3) + [f"w{int(rng.paretovariate(0.7)) % 200}" for _ in range(rng.randrange(30))])) for i in range(60)] + ODD[:-1]
+    docs = docs_of(spark, rows)
+    learn = [r["h"] for r in docs.select((~lm.held_out(F.col("doc_id"))).alias("h")).collect()]
+    got = sorted((tuple(r) for r in lm.score_documents(docs, ~lm.held_out(F.col("doc_id"))).collect()), key=str)
+    want = sorted(((d, *w) for (d, _), w in zip(rows, slow_lm(rows, learn, order_bound=1 << 40))), key=str)
+    assert [x[:4] for x in got] == [x[:4] for x in want] and np.allclose([x[4:] for x in got], [x[4:] for x in want])
+
+
 def test_lm_without_training_and_empty(spark):
     got = lm.score_documents(docs_of(spark, [(1, "a b")]), F.lit(False)).first()
     assert (got["n_tokens"], got["n_known"], got["train_tokens"], got["base_score"], got["score"]) == (3, 0, 0, 0.0, 0.0)
