@@ -6,7 +6,9 @@ sizes near equal (as near as the largest group lets them be).
 How: the state of differencing is a set of partial partitions, each an ordered tuple of k subset sums. Repeatedly the two with
 the largest spread are combined, oppositely ordered, until one is left. Groups are dealt by hash into buckets of about
 BUCKET; each bucket is differenced by itself into one partial partition (applied in bounded memory), and the driver
-differences those, one tuple of k numbers per BUCKET groups. The labels of a bucket are then renamed by the permutation
+differences those, one tuple of k numbers per BUCKET groups. Where there are several buckets, a group with more than
+1/LARGE of a shard's share of a bucket stays out of them and enters the last differencing as a tuple of its own, since the
+other buckets could not offset it: fewer than LARGE * k such groups for each bucket. The labels of a bucket are then renamed by the permutation
 that its tuple got. Texts are never shuffled: a group's key is a 128-bit hash with the size and CRC-32.
 
 Defined cases: a null text has size 1 and CRC 0, and null texts form a group of their own; null doc_ids and repeated rows are
@@ -27,6 +29,7 @@ from .common import hash128, materialize, ranked
 
 #: Groups differenced by one task, some 40 MB.
 BUCKET = 50_000
+LARGE = 4
 
 
 def difference(tuples: list[list[int]], k: int) -> tuple[np.ndarray, list[int]]:
@@ -66,9 +69,12 @@ def difference(tuples: list[list[int]], k: int) -> tuple[np.ndarray, list[int]]:
 
 def assign(groups: DataFrame, keys: list[str], shards: int, bucket_rows: int = BUCKET) -> DataFrame:
     """groups (materialised; `keys` and total `bytes`) with `shard`."""
-    total = groups.count()
+    total, size = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     buckets = max(1, -(-total // bucket_rows))
-    dealt = groups.withColumn("__bucket", F.pmod(F.xxhash64(F.lit("bucket"), *keys), F.lit(buckets)).cast("int"))
+    is_large = F.lit(buckets > 1) & (F.col("bytes") * (LARGE * shards * buckets) > F.lit(size))
+    large = groups.where(is_large).select(*keys, "bytes").collect()  # fewer than LARGE * shards * buckets
+    large.sort(key=lambda r: (-r["bytes"], *map(str, r)))
+    dealt = groups.where(~is_large).withColumn("__bucket", F.pmod(F.xxhash64(F.lit("bucket"), *keys), F.lit(buckets)).cast("int"))
     schema = ", ".join(f"{n} {t}" for n, t in dealt.dtypes) + ", label int"
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -78,10 +84,14 @@ def assign(groups: DataFrame, keys: list[str], shards: int, bucket_rows: int = B
 
     labelled = materialize(dealt.groupBy("__bucket").applyInPandas(within, schema), "shard-labels")
     sums = labelled.groupBy("__bucket").pivot("label", list(range(shards))).agg(F.sum("bytes")).na.fill(0).orderBy("__bucket").collect()
-    places, _ = difference([[int(r[str(j)]) for j in range(shards)] for r in sums], shards)
+    tuples = [[int(r[str(j)]) for j in range(shards)] for r in sums] + [[int(r["bytes"])] + [0] * (shards - 1) for r in large]
+    places, _ = difference(tuples, shards)
     names = [(r["__bucket"], places[i].tolist()) for i, r in enumerate(sums)]
     table = groups.sparkSession.createDataFrame(names, "__bucket int, shards array<int>")
-    return labelled.join(table, "__bucket").select(*keys, F.get("shards", F.col("label")).alias("shard"))
+    joined = labelled.join(table, "__bucket").select(*keys, F.get("shards", F.col("label")).alias("shard"))
+    alone = [(*(r[n] for n in keys), int(p[0])) for r, p in zip(large, places[len(sums) :])]
+    schema = ", ".join(f"{n} {t}" for n, t in groups.select(*keys).dtypes) + ", shard int"
+    return joined.select(*keys, F.col("shard").cast("int")).unionAll(groups.sparkSession.createDataFrame(alone, schema))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, bucket_rows: int = BUCKET) -> DataFrame:

@@ -173,3 +173,12 @@ def test_sharding(spark, bucket_rows):
     biggest = max(max(v for v in sizes.values()), mean)
     assert biggest == max(sizes.values()) and sorted(sizes.values())[-2] - min(sizes.values()) < 0.05 * mean
     assert sharding.shard_documents(docs.limit(0)).count() == 0
+
+
+def test_sharding_offsets_a_large_group_in_another_bucket(spark):
+    rng = random.Random(6)
+    rows = [(i, f"{i} " + "x" * rng.randrange(400), None, None) for i in range(600)] + [(-1, "y" * 6600, None, None)]
+    sizes = {}
+    for r in sharding.shard_documents(spark.createDataFrame(rows, SCHEMA), 16, 40).collect():
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["size"]
+    assert len(sizes) == 16 and max(sizes.values()) < 1.02 * sum(sizes.values()) / 16
