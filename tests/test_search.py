@@ -135,3 +135,12 @@ def test_quality_reports(spark):
     q = spark.createDataFrame([(1,), (5,)], "query_id long")
     assert [r[0] for r in quality.uncovered_queries(q, truth, 2).collect()] == [5]
     random.seed(0)
+
+
+def test_registered_ivf_recall(spark):
+    from starling.plans import catalogue
+
+    d = "/root/testdata/sf0.1"
+    e = catalogue._vectors(spark, d)
+    s = quality.summary(quality.compare(catalogue.knn_ivf_top10(spark, d), search.exact(e, catalogue._queries(e), 10), 10), 10).first()
+    assert s["recall"] >= 0.9
