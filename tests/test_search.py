@@ -144,3 +144,14 @@ def test_registered_ivf_recall(spark):
     e = catalogue._vectors(spark, d)
     s = quality.summary(quality.compare(catalogue.knn_ivf_top10(spark, d), search.exact(e, catalogue._queries(e), 10), 10), 10).first()
     assert s["recall"] >= 0.9
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine_f32"])
+def test_exact_beyond_the_sent_queries(spark, monkeypatch, metric):
+    rng = np.random.default_rng(4)
+    e = table(spark, [(i, [float(x) for x in rng.normal(size=6) * (1 + i % 3)]) for i in range(200)] + [(900 + i, [0.0] * 6) for i in range(3)])
+    q = e.where("id % 20 = 0").selectExpr("id AS query_id", "vector")
+    rows = lambda: sorted(map(tuple, search.exact(e, q, 5, metric).collect()))
+    want = rows()
+    monkeypatch.setattr(search, "BROADCAST_QUERIES", 3)
+    assert rows() == want
