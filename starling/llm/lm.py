@@ -7,10 +7,13 @@ log-probability and the next state; a failure arc gives the backoff weight and a
 
 How: every n-gram of the training documents is in the model (`ngram_bound` can leave out rare ones), so the model grows with the
 corpus and lies in tables, dealt by 64-bit hashes. Texts are cut into words once, into slices of about SLICE_TOKENS that hold their
-distinct words. For each order a slice asks for its distinct n-grams, with their occurrences in its training documents; a task that
-holds all requests for a share of the histories adds them up and answers with the counts and backoff weights, which the slice
-needs for the next order. A key comes once from a slice, and a history with more than HISTORY occurrences is dealt further by the
-last word; only the partial sums of such histories, at most N / HISTORY of them for each order, meet on the driver.
+distinct words. A slice asks for the counts of its words, then for its distinct trigrams (u, v, w), with their occurrences in its
+training documents. These are dealt by the middle word: one task then sees all that follows v and all that follows (u, v), so it
+knows the arcs and the failure weights of both states and answers with what the slice's traversal needs. A trigram comes once from
+a slice. Words v with more than HISTORY occurrences are too much for one task: for them the bigrams (v, w) are added up first, dealt
+by both words, and their trigrams are dealt by (u, v), those of a (u, v) with more than HISTORY occurrences by w as well. Only the
+partial sums of such histories, at most 2 N / HISTORY of them, meet on the driver; beyond 5e10 tokens HISTORY grows with N, so that
+there are 200,000 at most. Beside v, words are told apart by 40 bits of their hashes.
 
 Defined cases: null and empty texts have the end token only; without training documents N and V are 0 and every token has
 probability 1; a null doc_id is held out; repeated rows are scored each; an empty table gives an empty result; other columns
@@ -37,11 +40,12 @@ NGRAMS = 1 << 16
 DISCOUNT = 0.75
 SEED = 42
 #: Tokens of a slice, n-grams that a task adds up at once, and occurrences of a history above which it is dealt further.
-SLICE_TOKENS, REQUESTS, HISTORY = 1_000_000, 1_000_000, 500_000
-#: Turns in which the requests of an order are sent, so that fewer are on disk at once.
-TURNS = {2: 1, 3: 2}
-START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
-NONE = -1
+SLICE_TOKENS, REQUESTS, HISTORY = 1_000_000, 700_000, 300_000
+#: Turns in which the trigrams are sent, so that fewer are on disk at once.
+TURNS = 3
+#: Histories that may meet on the driver.
+SHARED = 100_000
+START, END, NOTHING = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 
 
 def held_out(doc_id: Column, parts: int = 5, part: int = 1) -> Column:
@@ -60,7 +64,7 @@ class _Places(dict):
         return n
 
 
-SLICES = "slice long, n_tokens long, n_words long, doc_ids array<long>, lengths binary, train binary, words binary, places binary"
+SLICES = "slice long, n_tokens long, n_words long, n_train long, doc_ids array<long>, lengths binary, train binary, words binary, places binary"
 
 
 def cut(docs: DataFrame, train: Column) -> DataFrame:
@@ -74,9 +78,9 @@ def cut(docs: DataFrame, train: Column) -> DataFrame:
             h = xxhash.xxh64_intdigest
             words = np.fromiter((h(w, SEED) for w in known), np.uint64, len(known))
             lengths = np.array([len(x) for x in held], np.int32)
-            row = [uuid.uuid4().int >> 65, int(lengths.sum()), len(known), ids, lengths.tobytes(), np.array(train, bool).tobytes(), words.tobytes(), _packed(np.concatenate(held))]
-            names = ["slice", "n_tokens", "n_words", "doc_ids", "lengths", "train", "words", "places"]
-            types = [pa.int64()] * 3 + [pa.list_(pa.int64())] + [pa.binary()] * 4
+            row = [uuid.uuid4().int >> 65, int(lengths.sum()), len(known), sum(train), ids, lengths.tobytes(), np.array(train, bool).tobytes(), words.tobytes(), _packed(np.concatenate(held))]
+            names = ["slice", "n_tokens", "n_words", "n_train", "doc_ids", "lengths", "train", "words", "places"]
+            types = [pa.int64()] * 4 + [pa.list_(pa.int64())] + [pa.binary()] * 4
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
 
         for b in batches:
@@ -119,25 +123,47 @@ def _unpacked(raw: bytes, n: int, *types: type) -> list[np.ndarray]:
     return out
 
 
-def _unpacked_all(rows: pa.Table, *types: type) -> list[np.ndarray]:
-    """The columns of all rows, one after another."""
-    parts = [_unpacked(raw.as_py(), n, *types) for raw, n in zip(rows["body"], rows["size"].to_pylist())]
-    return [np.concatenate([np.zeros(0, t), *(p[i] for p in parts)]) for i, t in enumerate(types)]
-
-
-#: A request's history, 40 bits of its last word, and counts: its own, its history's and those that give the shorter probability.
-REQUEST = {"history": np.uint64, "low": np.uint32, "high": np.uint8, "k": np.uint32, "total": np.uint32, "above": np.uint32, "below": np.uint32}
-WORD = {"history": np.uint64, "k": np.uint32}
-REPLY = "level int, bucket int, slice long, size int, body binary, n long, v long, shared binary"
+#: The columns of requests. Of a word: its hash and its occurrences. Of an n-gram: 40 bits of its u and its w; occurrences;
+#: those of (u, v) where that is dealt further; and those that give the shorter probability. N-grams are sorted by v, and each v of
+#: a message comes with its occurrences and its number of rows.
+WORD = {"hash": np.uint64, "k": np.uint32}
+GRAM = {"u_low": np.uint32, "u_high": np.uint8, "w_low": np.uint32, "w_high": np.uint8, "k": np.uint32, "total": np.uint32, "lower": np.uint32}
+MIDDLE = {"v": np.uint64, "c": np.uint32, "rows": np.uint32}
+#: The columns of replies: counts of the n-gram and its history, and the log10 of what backs off, where it isn't in the model.
+ANSWER = {1: {"c": np.uint32}, 2: {"c": np.uint32}, 3: {"c": np.uint32, "above": np.uint32, "rest": np.float64}}
+MESSAGE = "bucket int, slice long, size int, middles int, body binary, heads binary"
+REPLY = "level int, bucket int, slice long, size int, body binary, n long, v long, top long, shared binary"
 #: Of the sums of a history: its key, the probability given to its continuations, and what the shorter history gives them.
 SUMS = np.dtype([("history", np.uint64), ("given", np.float64), ("lower", np.float64)])
 
 
-def _buckets(history: np.ndarray, low: np.ndarray, total: np.ndarray, level: int, n: int, most: int) -> np.ndarray:
-    if level == 1:
-        return (_mix(history, END) % np.uint64(n)).astype(np.int32)
-    parts = 1 + total.astype(np.uint64) // np.uint64(most)
-    return (_mix(history, low.astype(np.uint64) % parts) % np.uint64(n)).astype(np.int32)
+def _unpacked_all(bodies: pa.ChunkedArray, sizes: list[int], kinds: dict) -> dict[str, np.ndarray]:
+    """The columns of all bodies, one after another."""
+    parts = [_unpacked(raw.as_py(), n, *kinds.values()) for raw, n in zip(bodies, sizes)]
+    return {name: np.concatenate([np.zeros(0, t), *(p[i] for p in parts)]) for i, (name, t) in enumerate(kinds.items())}
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    """40 bits of a hash."""
+    return h >> np.uint64(24)
+
+
+def _low_high(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (_short(h) & np.uint64(0xFFFFFFFF)).astype(np.uint32), (_short(h) >> np.uint64(32)).astype(np.uint8)
+
+
+def _base(c: np.ndarray, model: dict) -> np.ndarray:
+    return (c + 0.5) / (model["n"] + 0.5 * (model["v"] + 1))
+
+
+def _log_weight(sums: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum(1 - sums["given"], 1e-12) / np.maximum(1 - sums["lower"], 1e-12))
+
+
+def _sums(at: np.ndarray, n: int, given: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    sums = np.zeros(n, SUMS)
+    sums["given"], sums["lower"] = np.bincount(at, given, n), np.bincount(at, lower, n)
+    return sums
 
 
 class Slice:
@@ -145,111 +171,200 @@ class Slice:
 
     def __init__(self, t: pa.Table, replies: pa.Table, model: dict):
         row = t.to_pylist()[0]
-        self.id, self.doc_ids, self.model = row["slice"], row["doc_ids"], model
+        self.id, self.doc_ids, self.model, self.replies = row["slice"], row["doc_ids"], model, replies
         words, lengths = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["lengths"], np.int32)
-        start, end = len(words), len(words) + 1
-        self.hash = np.r_[words, START, END]
-        # start, words, end of each text, one after another
-        self.first = np.cumsum(np.r_[0, lengths + 2])[:-1]
-        at = np.ones(int((lengths + 2).sum()), bool)
-        at[self.first] = at[self.first + lengths + 1] = False
+        start, end, nothing = (len(words) + i for i in range(3))
+        self.words, self.hash = words, np.r_[words, START, END, NOTHING]
+        # nothing, start, words, end of each text, one after another
+        first = np.cumsum(np.r_[0, lengths + 3])[:-1]
+        at = np.ones(int((lengths + 3).sum()), bool)
+        at[first] = at[first + 1] = at[first + lengths + 2] = False
         self.seq = np.full(len(at), end, np.int64)
         self.seq[at] = _unpacked(row["places"], row["n_tokens"], np.int32)[0]
-        self.seq[self.first] = start
-        self.doc = np.repeat(np.arange(len(lengths)), lengths + 2)
+        self.seq[first], self.seq[first + 1] = nothing, start
+        real = np.ones(len(at), bool)
+        real[first] = real[first + 1] = False
+        self.at = np.flatnonzero(real)  # of the tokens
+        self.doc = np.repeat(np.arange(len(lengths)), lengths + 1)
         self.use = np.frombuffer(row["train"], bool)[self.doc]
-        self.real = np.ones(len(at), bool)
-        self.real[self.first] = False
-        self.replies = replies
-        self.count = self.weight = None
+        self.nothing = nothing
 
-    def heard(self, level: int, order: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Counts and log10 weights of the n requests of a level, which were sent in this order."""
+    def heard(self, level: int, order: np.ndarray, of: np.ndarray, n: int) -> dict[str, np.ndarray]:
+        """The answers for the n-grams `of` n, which were sent in this order."""
         mine = self.replies.filter(pa.compute.equal(self.replies["level"], level)).sort_by("bucket")
-        c, weight = np.zeros(n, np.int64), np.zeros(n)
-        c[order], weight[order] = _unpacked_all(mine, np.int64, np.float64)
-        return c, weight
-
-    def request(self, level: int) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
-        """Columns of the requests, their buckets, the order in which they are sent, and the n-grams they are for."""
-        m = self.model
-        if level == 1:
-            words = len(self.hash) - 2
-            k = np.bincount(self.seq[self.use & self.real & (self.seq < words)], minlength=words)
-            q = {"history": self.hash[:words], "low": None, "total": None, "k": k}
-            of = np.arange(words)
-        elif level == 2:
-            q, of = self.bigrams()
-        else:
-            q, of = self.trigrams()
-        bucket = _buckets(q["history"], q["low"], q["total"], level, m["buckets"][level], m["most"])
-        order = np.argsort(bucket, kind="stable")
-        return q, bucket, order, of
-
-    def last(self, w: np.ndarray) -> dict:
-        h = self.hash[w]
-        return {"low": (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), "high": (h >> np.uint64(56)).astype(np.uint8)}
+        got = _unpacked_all(mine["body"], mine["size"].to_pylist(), ANSWER[level])
+        out = {name: np.zeros(n, t) for name, t in ANSWER[level].items()}
+        for name, x in got.items():
+            out[name][of[order]] = x
+        return out
+
+    def dealt(self, level: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets, and the order in which they are sent."""
+        bucket = (key % np.uint64(self.model["buckets"][level])).astype(np.int32)
+        return bucket, np.argsort(bucket, kind="stable")
+
+    def one(self) -> tuple[dict, np.ndarray, np.ndarray]:
+        w = self.seq[self.at[self.use]]
+        k = np.bincount(w[w < len(self.words)], minlength=len(self.words))
+        return {"hash": self.words, "k": k}, *self.dealt(1, _mix(self.words, END))
 
     def words_known(self) -> None:
-        _, _, order, of = self.request(1)
+        _, _, order = self.one()
         docs = self.model["docs"]
-        self.c1 = np.r_[self.heard(1, order, len(of))[0], docs, docs]  # the start's is a history's total
-        self.base = np.log10((self.c1 + 0.5) / (self.model["n"] + 0.5 * (self.model["v"] + 1)))
+        every = np.arange(len(self.words))
+        self.c1 = np.r_[self.heard(1, order, every, len(every))["c"].astype(np.int64), docs, docs, 0]  # the start's is a history's total
+        self.hot = self.c1 >= self.model["most"]
+        self.base = np.log10(_base(self.c1, self.model))
 
-    def bigrams(self) -> tuple[dict, np.ndarray]:
-        """Distinct bigrams (v, w); asked for where v is known."""
+    def two(self) -> tuple[dict, np.ndarray, np.ndarray]:
+        """Distinct bigrams (v, w) after words that are dealt further."""
         self.words_known()
-        at = np.flatnonzero(self.real)
-        keys, self.pair = np.unique(self.seq[at - 1] * len(self.hash) + self.seq[at], return_inverse=True)
-        k = np.bincount(self.pair, self.use[at], len(keys))
-        self.v, self.w = keys // len(self.hash), keys % len(self.hash)
-        self.pair_hash = _mix(self.hash[self.v], self.hash[self.w])
-        of = np.flatnonzero(self.c1[self.v] > 0)
-        seen = k[of] > 0
-        q = {"history": self.hash[self.v[of]], **self.last(self.w[of]), "k": k[of], "total": self.c1[self.v[of]], "above": self.c1[self.w[of]] * seen, "below": np.zeros(len(of), np.uint32)}
-        return q, of
-
-    def answers(self, level: int, q: dict, order: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        c, weight = np.zeros(size, np.int64), np.zeros(size)
-        c[of], weight[of] = self.heard(level, order, len(of))
-        hot = self.model["shared"].get(level)
-        if hot is not None and len(hot[0]):
-            at = np.minimum(np.searchsorted(hot[0], q["history"]), len(hot[0]) - 1)
-            weight[of] = np.where((hot[0][at] == q["history"]) & (q["total"] >= self.model["most"]), hot[1][at], weight[of])
-        return c, weight
+        v, w, n = self.seq[self.at - 1], self.seq[self.at], len(self.hash)
+        follows = np.flatnonzero(self.hot[v])
+        self.pairs, at = np.unique(v[follows] * n + w[follows], return_inverse=True)
+        v, w, k = self.pairs // n, self.pairs % n, np.bincount(at, self.use[follows], len(self.pairs)).astype(np.int64)
+        parts = 1 + self.c1[v] // self.model["most"]
+        bucket, order = self.dealt(2, _mix(_mix(self.hash[v], START), self.hash[w] % parts.astype(np.uint64)))
+        low, high = _low_high(self.hash[w])
+        none = np.zeros(len(v), np.uint32)
+        return {"place": v, "u_low": none, "u_high": none, "w_low": low, "w_high": high, "k": k, "total": none, "lower": self.c1[w]}, bucket, order
+
+    def _weights(self, level: int, keys: np.ndarray) -> np.ndarray:
+        """log10 weights of histories that met on the driver; 0 for others."""
+        known, weight = self.model["shared"][level]
+        if not len(known):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, weight[at], 0)
 
     def pairs_known(self) -> None:
-        q, _, order, of = self.request(2)
-        self.c2, weight = self.answers(2, q, order, of, len(self.v))
-        kept = self.c2 >= self.model["least"]
-        self.log_p2 = np.where(kept, np.log10(np.maximum(self.c2 - DISCOUNT, 0.01) / np.maximum(self.c1[self.v], 1)), weight + self.base[self.w])
-
-    def trigrams(self) -> tuple[dict, np.ndarray]:
-        """Distinct trigrams (u, v, w), as the place of (u, v) among the bigrams and of (v, w); asked for where (u, v) is in the model."""
+        _, _, order = self.two()
+        self.c2 = self.heard(2, order, np.arange(len(self.pairs)), len(self.pairs))["c"].astype(np.int64)
+        v, w = self.pairs // len(self.hash), self.pairs % len(self.hash)
+        away = self._weights(2, self.hash[v]) + self.base[w]
+        self.p2 = np.where(self.c2 >= self.model["least"], np.log10(np.maximum(self.c2 - DISCOUNT, 0.01) / np.maximum(self.c1[v], 1)), away)
+
+    def pair(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Places of bigrams among self.pairs; anything for those that aren't there."""
+        return np.minimum(np.searchsorted(self.pairs, v * len(self.hash) + w), max(0, len(self.pairs) - 1))
+
+    def three(self) -> tuple[dict, np.ndarray, np.ndarray]:
+        """Distinct trigrams (u, v, w); asked for where v is known and (u, v) may be."""
         self.pairs_known()
-        at = np.flatnonzero(self.real)
-        self.longer = np.flatnonzero(self.real[at - 1])  # of the real positions, those with two tokens before
-        keys, first, self.triple = np.unique(self.pair[self.longer - 1] * len(self.hash) + self.seq[at[self.longer]], return_index=True, return_inverse=True)
-        k = np.bincount(self.triple, self.use[at[self.longer]], len(keys))
-        self.uv, self.vw = keys // len(self.hash), self.pair[self.longer[first]]
-        of = np.flatnonzero(self.c2[self.uv] >= self.model["least"])
-        seen = k[of] > 0
-        uv, vw = self.uv[of], self.vw[of]
-        q = {"history": self.pair_hash[uv], **self.last(self.w[vw]), "k": k[of], "total": self.c2[uv], "above": self.c2[vw] * seen, "below": self.c1[self.v[vw]] * seen}
-        return q, of
+        u, v, w, n, least = self.seq[self.at - 2], self.seq[self.at - 1], self.seq[self.at], len(self.hash), self.model["least"]
+        if n < 1 << 21:
+            keys, self.triple = np.unique((v * n + u) * n + w, return_inverse=True)
+            vu = keys // n
+        else:  # a text of millions of different words
+            long, short = np.unique(v * n + u, return_inverse=True)
+            keys, self.triple = np.unique(short * n + w, return_inverse=True)
+            vu = long[keys // n]
+        u, v, w = vu % n, vu // n, keys % n
+        self.k = np.bincount(self.triple, self.use, len(keys)).astype(np.int64)
+        hot, of_hot = self.hot[v], self.hot[u]
+        self.known = np.zeros(len(keys))  # log10 of the shorter probability, where it isn't left to the answer
+        self.known[hot] = self.p2[self.pair(v[hot], w[hot])]
+        self.known[self.c1[v] == 0] = self.base[w[self.c1[v] == 0]]
+        total = np.zeros(len(keys), np.int64)
+        total[of_hot] = self.c2[self.pair(u[of_hot], v[of_hot])]
+        self.of = np.flatnonzero((self.c1[v] > 0) & ~(hot & ((u == self.nothing) | of_hot & (total < least))))
+        u, v, w, k, hot, total = u[self.of], v[self.of], w[self.of], self.k[self.of], hot[self.of], total[self.of]
+        total = np.where(hot & (total >= self.model["most"]), total, 0)
+        history = _mix(_short(self.hash[u]), self.hash[v])
+        self.away = np.where(total > 0, self._weights(3, history), 0)
+        key = np.where(hot, history, self.hash[v])
+        key = np.where(total > 0, _mix(key, self.hash[w] % (1 + total // self.model["most"]).astype(np.uint64)), key)
+        lower = self.c1[w]
+        lower[hot] = self.c2[self.pair(v[hot], w[hot])]
+        bucket, order = self.dealt(3, _mix(key, END))
+        (u_low, u_high), (w_low, w_high) = _low_high(self.hash[u]), _low_high(self.hash[w])
+        return {"place": v, "u_low": u_low, "u_high": u_high, "w_low": w_low, "w_high": w_high, "k": k, "total": total, "lower": lower}, bucket, order
 
     def scores(self) -> pa.Table:
-        q, _, order, of = self.request(3)
-        c3, weight = self.answers(3, q, order, of, len(self.uv))
-        kept = c3 >= self.model["least"]
-        log_p3 = np.where(kept, np.log10(np.maximum(c3 - DISCOUNT, 0.01) / np.maximum(self.c2[self.uv], 1)), weight + self.log_p2[self.vw])
-        log_p = self.log_p2[self.pair]
-        log_p[self.longer] = log_p3[self.triple]
-        w, doc, n = self.seq[self.real], self.doc[self.real], len(self.doc_ids)
-        known, base, score = (np.bincount(doc, x, n) for x in (self.c1[w] > 0, self.base[w], log_p))
-        columns = [pa.array(self.doc_ids, pa.int64()), *(pa.array(x.astype(np.int64)) for x in (np.bincount(doc, minlength=n), known)), pa.array(base), pa.array(score)]
+        _, _, order = self.three()
+        got = self.heard(3, order, self.of, len(self.known))
+        away = got["rest"].copy()
+        away[self.of] += self.away
+        log_p = np.where(got["c"] >= self.model["least"], np.log10(np.maximum(got["c"] - DISCOUNT, 0.01) / np.maximum(got["above"], 1)), away + self.known)[self.triple]
+        w, n = self.seq[self.at], len(self.doc_ids)
+        known, base, score = (np.bincount(self.doc, x, n) for x in (self.c1[w] > 0, self.base[w], log_p))
+        columns = [pa.array(self.doc_ids, pa.int64()), *(pa.array(x.astype(np.int64)) for x in (np.bincount(self.doc, minlength=n), known)), pa.array(base), pa.array(score)]
         return pa.table(columns, names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
+    def messages(self, level: int, low: int, high: int) -> pa.Table:
+        """The requests of a level to the buckets from low up to high."""
+        q, bucket, order = {1: self.one, 2: self.two, 3: self.three}[level]()
+        to, sizes = np.unique(bucket, return_counts=True)
+        ends = np.cumsum(sizes)
+        rows = []
+        for t, a, b in zip(to.tolist(), (ends - sizes).tolist(), ends.tolist()):
+            if low <= t < high:
+                own = order[a:b]
+                columns, heads, middles = {n: x[own] for n, x in q.items()}, None, 0
+                if level > 1:
+                    places, runs = np.unique(columns["place"], return_counts=True)
+                    middles, heads = len(places), _packed(self.hash[places], self.c1[places].astype(np.uint32), runs.astype(np.uint32))
+                kinds = WORD if level == 1 else GRAM
+                rows.append((t, self.id, b - a, middles, _packed(*(columns[n].astype(d) for n, d in kinds.items())), heads))
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 6, types)], names=MESSAGE.split()[::2])
+
+
+def _added(key: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of groups of equal keys: the first row, the sum of k, and each row's group."""
+    _, first, at = np.unique(key, return_index=True, return_inverse=True)
+    return first, np.bincount(at, k, len(first)).astype(np.int64), at
+
+
+def _answer(t: pa.Table, level: int, model: dict) -> pa.Table:
+    """Adds up all requests of a bucket and answers them."""
+    sizes, least = t["size"].to_pylist(), model["least"]
+    q = _unpacked_all(t["body"], sizes, WORD if level == 1 else GRAM)
+    shared, v, top = np.zeros(0, SUMS), 0, 0
+    if level == 1:
+        _, total, at = _added(q["hash"], q["k"])
+        top = int(total.max(initial=0))
+        v, out = int((total > 0).sum()), {"c": total[at]}
+    else:
+        heads = _unpacked_all(t["heads"], t["middles"].to_pylist(), MIDDLE)
+        middle, c1 = (np.repeat(heads[x], heads["rows"]) for x in "vc")
+        c1 = c1.astype(float)
+        u, w = (q[x + "_low"].astype(np.uint64) | q[x + "_high"].astype(np.uint64) << np.uint64(32) for x in "uw")
+        of, lower = _added(middle, q["k"])[2], q["lower"].astype(float)
+        hot = c1 >= model["most"]
+        vw_first, vw_total, vw = _added(_mix(middle, w), q["k"])
+        # what follows v: arcs of the model and their sums
+        kept = vw_total >= least
+        rows = vw_first[kept]
+        given, known = (vw_total[kept] - DISCOUNT) / c1[rows], _base(lower[rows], model)
+        after = _sums(of[rows], int(of.max(initial=-1)) + 1, given, known)
+        after["history"][of] = middle
+        if level == 2:
+            shared, out = after, {"c": vw_total[vw]}
+        else:
+            history = _mix(u, middle)
+            uv_first, uv_total, uv = _added(history, q["k"])
+            first, total, at = _added(_mix(history, w), q["k"])
+            dealt = q["total"][uv_first] > 0  # (u, v) of which this bucket has a share
+            above = np.where(dealt, q["total"][uv_first], uv_total)
+            kept = total >= least
+            rows = first[kept]
+            below = np.where(hot, lower, vw_total[vw])
+            sums = _sums(uv[rows], len(above), (total[kept] - DISCOUNT) / above[uv[rows]], (below[rows] - DISCOUNT) / c1[rows])
+            p2 = np.where(vw_total[vw] >= least, np.log10(np.maximum(vw_total[vw] - DISCOUNT, 0.01) / np.maximum(c1, 1)), _log_weight(after)[of] + np.log10(_base(lower, model)))
+            rest = np.where(dealt[uv] | (u == _short(NOTHING)), 0, _log_weight(sums)[uv]) + np.where(hot, 0, p2)
+            c = total[at]
+            out = {"c": c, "above": np.where(c >= least, above[uv], 0), "rest": np.where(c >= least, 0, rest)}
+            sums["history"] = history[uv_first]
+            shared = sums[dealt]
+    n, ends = t.num_rows, np.cumsum(sizes).tolist()
+    once = lambda x, other: [x] + [other] * (n - 1)
+    bodies = [_packed(*(out[x][a:b].astype(d) for x, d in ANSWER[level].items())) for a, b in zip([0, *ends], ends)]
+    return pa.table({
+        "level": pa.array([level] * n, pa.int32()), "bucket": t["bucket"], "slice": t["slice"], "size": t["size"], "body": pa.array(bodies, pa.binary()),
+        "n": pa.array(once(int(q["k"].sum()), 0), pa.int64()), "v": pa.array(once(v, 0), pa.int64()), "top": pa.array(once(top, 0), pa.int64()), "shared": pa.array(once(shared.tobytes() or None, None), pa.binary()),
+    })
+
 
 def _with_replies(slices: DataFrame, replies: DataFrame, f, schema: str) -> DataFrame:
     """f(slice row, its replies) of every slice."""
@@ -259,54 +374,10 @@ def _with_replies(slices: DataFrame, replies: DataFrame, f, schema: str) -> Data
 
 def ask(slices: DataFrame, replies: DataFrame, level: int, model: dict, turn: int = 0, turns: int = 1) -> DataFrame:
     """The replies of a level to all slices, those of one of `turns` equal ranges of buckets."""
-    kinds, n = WORD if level == 1 else REQUEST, model["buckets"][level]
+    n = model["buckets"][level]
     low, high = n * turn // turns, n * (turn + 1) // turns
-
-    def requests(t: pa.Table, heard: pa.Table) -> pa.Table:
-        s = Slice(t, heard, model)
-        q, bucket, order, _ = s.request(level)
-        to, sizes = np.unique(bucket, return_counts=True)
-        columns = [q[n][order].astype(d) for n, d in kinds.items()]
-        ends = np.cumsum(sizes).tolist()
-        bodies = [_packed(*(x[a:b] for x in columns)) if low <= t < high else None for t, a, b in zip(to.tolist(), [0, *ends], ends)]
-        made = pa.table({"bucket": pa.array(to, pa.int32()), "slice": pa.array(np.full(len(to), s.id), pa.int64()), "size": pa.array(sizes, pa.int32()), "body": pa.array(bodies, pa.binary())})
-        return made.filter(pa.compute.is_valid(made["body"]))
-
-    def add(t: pa.Table) -> pa.Table:
-        q = dict(zip(kinds, _unpacked_all(t, *kinds.values())))
-        q["key"] = q["history"] if level == 1 else _mix(q["history"], q["low"].astype(np.uint64) << np.uint64(8) | q["high"])
-        seen = np.flatnonzero(q["k"])
-        keys, first, at = np.unique(q["key"][seen], return_index=True, return_inverse=True)
-        total = np.bincount(at, q["k"][seen], len(keys)).astype(np.int64)
-        first = seen[first]
-        c, weight, shared = np.zeros(len(q["k"]), np.int64), np.zeros(len(q["k"])), b""
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, q["key"]), len(keys) - 1)
-            c = np.where(keys[at] == q["key"], total[at], 0)
-        kept = total >= model["least"]
-        if level > 1 and kept.any():
-            first, total = first[kept], total[kept]
-            above, below, of = (q[x][first].astype(float) for x in ("above", "below", "total"))
-            lower = (above + 0.5) / (model["n"] + 0.5 * (model["v"] + 1)) if level == 2 else (above - DISCOUNT) / below
-            histories, at = np.unique(q["history"][first], return_inverse=True)
-            sums = np.zeros(len(histories), SUMS)
-            sums["history"], sums["given"], sums["lower"] = histories, np.bincount(at, (total - DISCOUNT) / of), np.bincount(at, lower)
-            at = np.minimum(np.searchsorted(histories, q["history"]), len(histories) - 1)
-            back = (c < model["least"]) & (histories[at] == q["history"])
-            weight = np.where(back, _log_weight(sums)[at], 0)
-            shared = sums[np.isin(histories, q["history"][first][of >= model["most"]])].tobytes()
-        n, ends = t.num_rows, np.cumsum(t["size"].to_numpy()).tolist()
-        once = lambda x, other: [x] + [other] * (n - 1)
-        return pa.table({
-            "level": pa.array([level] * n, pa.int32()), "bucket": t["bucket"], "slice": t["slice"], "size": t["size"], "body": pa.array([_packed(c[a:b], weight[a:b]) for a, b in zip([0, *ends], ends)], pa.binary()),
-            "n": pa.array(once(int(total.sum()), 0), pa.int64()), "v": pa.array(once(len(keys), 0), pa.int64()), "shared": pa.array(once(shared or None, None), pa.binary()),
-        })
-
-    return materialize(_with_replies(slices, replies, requests, "bucket int, slice long, size int, body binary").groupBy("bucket").applyInArrow(add, REPLY), f"lm-{level}")
-
-
-def _log_weight(sums: np.ndarray) -> np.ndarray:
-    return np.log10(np.maximum(1 - sums["given"], 1e-12) / np.maximum(1 - sums["lower"], 1e-12))
+    sent = _with_replies(slices, replies, lambda t, heard: Slice(t, heard, model).messages(level, low, high), MESSAGE)
+    return materialize(sent.groupBy("bucket").applyInArrow(lambda t: _answer(t, level, model), REPLY), f"lm-{level}")
 
 
 def _shared(replies: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -324,20 +395,26 @@ def score_documents(docs: DataFrame, train: Column | None = None, vocabulary_bou
     By default all their n-grams are; given ngram_bound, those with at least N / ngram_bound occurrences. All words are counted and
     looked up in the same way, so vocabulary_bound changes nothing."""
     slices = materialize(cut(docs, F.lit(True) if train is None else train), "lm-slices")
-    size = slices.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n_tokens", "n_words")], F.coalesce(F.sum(F.size("doc_ids")), F.lit(0))).first()
-    bits = slices.select("train").toLocalIterator()
-    learned = sum(int(np.frombuffer(r["train"], bool).sum()) for r in bits)
+    size = slices.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n_tokens", "n_words", F.size("doc_ids"), "n_train")]).first()
     buckets = lambda n: max(1, -(-n // REQUESTS))
-    model = {"docs": learned, "n": 0, "v": 0, "least": 1, "most": HISTORY, "shared": {}, "buckets": {1: buckets(size[1]), 2: buckets(size[0] + size[2]), 3: buckets(size[0])}}
+    none = (np.zeros(0, np.uint64), np.zeros(0))
+    model = {"docs": size[3], "n": 0, "v": 0, "least": 1, "most": HISTORY, "shared": {2: none, 3: none}, "buckets": {1: buckets(size[1]), 2: buckets(size[0]), 3: buckets(size[0] + size[2])}}
     replies = ask(slices, docs.sparkSession.createDataFrame([], REPLY), 1, model)
-    n, v = replies.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    model |= {"n": n + learned, "v": v + (learned > 0)}
-    model["least"] = max(1, model["n"] / ngram_bound) if ngram_bound else 1
-    for level in (2, 3):
-        turns = [ask(slices, replies, level, dict(model), i, TURNS[level]) for i in range(TURNS[level])]
-        new = reduce(DataFrame.unionAll, turns)
-        model["shared"] = model["shared"] | {level: _shared(new)}
-        replies = replies.unionAll(new)
+    n, v, top = replies.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum("n"), F.sum("v"), F.max("top"))]).first()
+    model |= {"n": n + size[3], "v": v + (size[3] > 0)}
+    model |= {"least": max(1, model["n"] / ngram_bound) if ngram_bound else 1, "most": max(HISTORY, model["n"] // SHARED)}
+    turns = [(3, i, TURNS) for i in range(TURNS)]
+    if max(top, size[3]) >= model["most"]:
+        turns.insert(0, (2, 0, 1))
+    answered = []
+    for level, turn, of in turns:
+        new = ask(slices, replies, level, dict(model), turn, of)
+        answered.append(new)
+        if level == 2:
+            model["shared"] = model["shared"] | {2: _shared(new)}
+            replies = replies.unionAll(new)
+    model["shared"] = model["shared"] | {3: _shared(reduce(DataFrame.unionAll, answered).where("level = 3"))}
+    replies = reduce(DataFrame.unionAll, [x for x, (level, _, _) in zip(answered, turns) if level == 3], replies)
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
     scored = _with_replies(slices, replies, lambda t, heard: Slice(t, heard, model).scores(), schema)
     return scored.select("doc_id", "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"), "base_score", "score")
