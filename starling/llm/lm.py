@@ -42,9 +42,10 @@ SEED = 42
 #: Tokens of a slice, n-grams that a task adds up at once, and occurrences of a history above which it is dealt further.
 SLICE_TOKENS, REQUESTS, HISTORY = 1_000_000, 700_000, 300_000
 #: Turns in which the trigrams are sent, so that fewer are on disk at once.
-TURNS = 3
+TURNS = 4
 #: Histories that may meet on the driver.
 SHARED = 100_000
+NONE = -1
 START, END, NOTHING = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 
 
@@ -152,6 +153,16 @@ def _low_high(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (_short(h) & np.uint64(0xFFFFFFFF)).astype(np.uint32), (_short(h) >> np.uint64(32)).astype(np.uint8)
 
 
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of equal keys, in order of the key: a row of each, and each row's group."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+    at = np.empty(len(key), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return order[new], at
+
+
 def _base(c: np.ndarray, model: dict) -> np.ndarray:
     return (c + 0.5) / (model["n"] + 0.5 * (model["v"] + 1))
 
@@ -248,44 +259,49 @@ class Slice:
         """Places of bigrams among self.pairs; anything for those that aren't there."""
         return np.minimum(np.searchsorted(self.pairs, v * len(self.hash) + w), max(0, len(self.pairs) - 1))
 
-    def three(self) -> tuple[dict, np.ndarray, np.ndarray]:
-        """Distinct trigrams (u, v, w); asked for where v is known and (u, v) may be."""
+    def three(self, low: int = 0, high: int | None = None) -> tuple[dict, np.ndarray, np.ndarray]:
+        """Distinct trigrams (u, v, w) that are asked for in the buckets from low up to high: where v is known and (u, v) may be."""
         self.pairs_known()
-        u, v, w, n, least = self.seq[self.at - 2], self.seq[self.at - 1], self.seq[self.at], len(self.hash), self.model["least"]
+        u, v, w, n, least, most = self.seq[self.at - 2], self.seq[self.at - 1], self.seq[self.at], len(self.hash), self.model["least"], self.model["most"]
+        buckets = np.uint64(self.model["buckets"][3])
+        hot = np.flatnonzero(self.hot[v])
+        total = np.zeros(len(hot), np.int64)
+        both = self.hot[u[hot]]
+        total[both] = self.c2[self.pair(u[hot[both]], v[hot[both]])]
+        key = history = _mix(_short(self.hash[u[hot]]), self.hash[v[hot]])
+        bucket = (_mix(self.hash, END) % buckets).astype(np.int32)[v]
+        dealt = total >= most
+        key = np.where(dealt, _mix(history, self.hash[w[hot]] % (1 + total // most).astype(np.uint64)), history)
+        bucket[hot] = (_mix(key, END) % buckets).astype(np.int32)
+        bucket[hot[(u[hot] == self.nothing) | both & (total < least)]] = NONE
+        bucket[self.c1[v] == 0] = NONE
+        # log10 of the shorter probability where it is known, of what backs off to it where that met on the driver
+        self.known = np.zeros(len(v))
+        self.known[hot] = self.p2[self.pair(v[hot], w[hot])] + np.where(dealt, self._weights(3, history), 0)
+        self.known[self.c1[v] == 0] = self.base[w[self.c1[v] == 0]]
+        self.asks = np.flatnonzero((bucket >= low) & (bucket < (buckets if high is None else high)))
+        u, v, w = u[self.asks], v[self.asks], w[self.asks]
         if n < 1 << 21:
-            keys, self.triple = np.unique((v * n + u) * n + w, return_inverse=True)
-            vu = keys // n
+            pair = v * n + u
         else:  # a text of millions of different words
-            long, short = np.unique(v * n + u, return_inverse=True)
-            keys, self.triple = np.unique(short * n + w, return_inverse=True)
-            vu = long[keys // n]
-        u, v, w = vu % n, vu // n, keys % n
-        self.k = np.bincount(self.triple, self.use, len(keys)).astype(np.int64)
-        hot, of_hot = self.hot[v], self.hot[u]
-        self.known = np.zeros(len(keys))  # log10 of the shorter probability, where it isn't left to the answer
-        self.known[hot] = self.p2[self.pair(v[hot], w[hot])]
-        self.known[self.c1[v] == 0] = self.base[w[self.c1[v] == 0]]
-        total = np.zeros(len(keys), np.int64)
-        total[of_hot] = self.c2[self.pair(u[of_hot], v[of_hot])]
-        self.of = np.flatnonzero((self.c1[v] > 0) & ~(hot & ((u == self.nothing) | of_hot & (total < least))))
-        u, v, w, k, hot, total = u[self.of], v[self.of], w[self.of], self.k[self.of], hot[self.of], total[self.of]
-        total = np.where(hot & (total >= self.model["most"]), total, 0)
-        history = _mix(_short(self.hash[u]), self.hash[v])
-        self.away = np.where(total > 0, self._weights(3, history), 0)
-        key = np.where(hot, history, self.hash[v])
-        key = np.where(total > 0, _mix(key, self.hash[w] % (1 + total // self.model["most"]).astype(np.uint64)), key)
-        lower = self.c1[w]
+            long, pair = np.unique(v * n + u, return_inverse=True)
+        first, self.triple = _groups(pair * n + w)
+        here = np.zeros(len(self.doc), np.int64)
+        here[hot[dealt]] = total[dealt]
+        total = here[self.asks[first]]
+        k = np.bincount(self.triple, self.use[self.asks], len(first)).astype(np.int64)
+        bucket, u, v, w = bucket[self.asks[first]], u[first], v[first], w[first]
+        lower, hot = self.c1[w], self.hot[v]
         lower[hot] = self.c2[self.pair(v[hot], w[hot])]
-        bucket, order = self.dealt(3, _mix(key, END))
         (u_low, u_high), (w_low, w_high) = _low_high(self.hash[u]), _low_high(self.hash[w])
-        return {"place": v, "u_low": u_low, "u_high": u_high, "w_low": w_low, "w_high": w_high, "k": k, "total": total, "lower": lower}, bucket, order
+        return {"place": v, "u_low": u_low, "u_high": u_high, "w_low": w_low, "w_high": w_high, "k": k, "total": total, "lower": lower}, bucket, np.argsort(bucket, kind="stable")
 
     def scores(self) -> pa.Table:
         _, _, order = self.three()
-        got = self.heard(3, order, self.of, len(self.known))
-        away = got["rest"].copy()
-        away[self.of] += self.away
-        log_p = np.where(got["c"] >= self.model["least"], np.log10(np.maximum(got["c"] - DISCOUNT, 0.01) / np.maximum(got["above"], 1)), away + self.known)[self.triple]
+        got = self.heard(3, order, np.arange(len(order)), len(order))
+        arc = np.log10(np.maximum(got["c"] - DISCOUNT, 0.01) / np.maximum(got["above"], 1))
+        log_p, kept = self.known, got["c"] >= self.model["least"]
+        log_p[self.asks] = np.where(kept[self.triple], arc[self.triple], got["rest"][self.triple] + log_p[self.asks])
         w, n = self.seq[self.at], len(self.doc_ids)
         known, base, score = (np.bincount(self.doc, x, n) for x in (self.c1[w] > 0, self.base[w], log_p))
         columns = [pa.array(self.doc_ids, pa.int64()), *(pa.array(x.astype(np.int64)) for x in (np.bincount(self.doc, minlength=n), known)), pa.array(base), pa.array(score)]
@@ -293,7 +309,7 @@ class Slice:
 
     def messages(self, level: int, low: int, high: int) -> pa.Table:
         """The requests of a level to the buckets from low up to high."""
-        q, bucket, order = {1: self.one, 2: self.two, 3: self.three}[level]()
+        q, bucket, order = self.three(low, high) if level == 3 else self.two() if level == 2 else self.one()
         to, sizes = np.unique(bucket, return_counts=True)
         ends = np.cumsum(sizes)
         rows = []
@@ -311,8 +327,8 @@ class Slice:
 
 
 def _added(key: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of groups of equal keys: the first row, the sum of k, and each row's group."""
-    _, first, at = np.unique(key, return_index=True, return_inverse=True)
+    """Of groups of equal keys: a row, the sum of k, and each row's group."""
+    first, at = _groups(key)
     return first, np.bincount(at, k, len(first)).astype(np.int64), at
 
 
@@ -327,10 +343,10 @@ def _answer(t: pa.Table, level: int, model: dict) -> pa.Table:
         v, out = int((total > 0).sum()), {"c": total[at]}
     else:
         heads = _unpacked_all(t["heads"], t["middles"].to_pylist(), MIDDLE)
-        middle, c1 = (np.repeat(heads[x], heads["rows"]) for x in "vc")
-        c1 = c1.astype(float)
+        of, rows = _groups(heads["v"])[1], heads["rows"]
+        of, middle, c1 = np.repeat(of, rows), np.repeat(heads["v"], rows), np.repeat(heads["c"].astype(float), rows)
         u, w = (q[x + "_low"].astype(np.uint64) | q[x + "_high"].astype(np.uint64) << np.uint64(32) for x in "uw")
-        of, lower = _added(middle, q["k"])[2], q["lower"].astype(float)
+        lower = q["lower"].astype(float)
         hot = c1 >= model["most"]
         vw_first, vw_total, vw = _added(_mix(middle, w), q["k"])
         # what follows v: arcs of the model and their sums
