@@ -11,6 +11,10 @@ class ValidationError(ValueError):
         self.messages = messages
 
 
+class Conflict(RuntimeError):
+    """Another writer published a version first; nothing was changed, and the work can be done again on the new version."""
+
+
 class NotFound(KeyError):
     """No vector has this id."""
 

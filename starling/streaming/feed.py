@@ -23,17 +23,19 @@ def latest_stream(changes: DataFrame, key: str = "id", order: list[str] | None =
     return overlay.latest(changes, key, order)
 
 
-def apply_to(store: VectorStore) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch. A batch's changes are collapsed to the last of each id, puts that repeat the stored vector are
-    skipped, the rest is appended, and the store compacts when it is due. A batch that is run again after a failure appends
-    rows with the same seq again, which the latest-by-seq rule makes harmless."""
+def apply_to(store: VectorStore, skipped: Callable[[int], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch. A batch's changes are collapsed to the last of each id and appended as one commit, and the store
+    compacts when it is due. Puts that repeat the stored vector stay in the log, as their url, metadata and seq count, but need no
+    upkeep of an index; `skipped` hears how many there are in each batch. A batch that is run again after a failure appends rows with
+    the same seq again, which the latest-by-seq rule makes harmless. Bad data fails for good; what else fails is tried again by the
+    stream's restart (X6)."""
 
     def apply(batch: DataFrame, _: int) -> None:
         last = overlay.latest(batch)
-        now = store.rows().select(F.col("id").alias("__id"), F.col("vector").alias("__v"))
-        met = last.join(now, last["id"] == now["__id"], "left")
-        fresh = met.where(~((F.col("op") == "PUT") & F.coalesce(F.col("vector") == F.col("__v"), F.lit(False)))).select(*last.columns)
-        store._append(fresh)
+        if skipped is not None:
+            now = store.rows().select(F.col("id").alias("__id"), F.col("vector").alias("__v"))
+            skipped(last.join(now, last["id"] == now["__id"]).where((F.col("op") == "PUT") & (F.col("vector") == F.col("__v"))).count())
+        store._append(last)
         store.compact()
 
     return apply
