@@ -87,6 +87,24 @@ def test_lines_against_brute_force(spark, hot):
     assert line_dedup.dedup_lines(d.limit(0)).count() == 0
 
 
+def test_lines_are_dropped_by_the_stream_and_by_hot_keys_alike(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = lambda **o: line_dedup.keep_bitmaps(docs, **o).groupBy("doc_id").agg(F.sum(F.size(line_dedup.dropped_positions(F.col("keep")))).alias("n"))
+    lines = docs.select(F.explode(F.transform(line_dedup.split_lines(F.col("text")), line_dedup.line_key)).alias("key"))
+    hashes = lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"))
+    assert line_dedup.hot_keys(hashes.where("h1 IS NOT NULL"), line_dedup.HOT).count() <= 1  # at most the empty line
+    few = line_dedup.hot_keys(hashes, 40).count()
+    assert few == hashes.groupBy("h1", "h2").count().where("count > 40").count() > 1
+    stream, hot = (sorted(map(tuple, rows(**o).collect())) for o in ({}, {"hot": 2}))
+    assert stream == hot and sum(n for _, n in stream) > 1000
+
+
+def test_lines_beside_clashing_columns(spark):
+    d = spark.createDataFrame([(i, "a line that all three share", "x", "y", "z", 1) for i in range(3)], "doc_id long, text string, kept string, own string, mark string, n_lines int")
+    got = line_dedup.apply_bitmaps(d, line_dedup.keep_bitmaps(d)).orderBy("doc_id").collect()
+    assert [(r["kept"], r["own"], r["mark"], r["n_lines"], r["n_dropped"]) for r in got] == [("", "y", "z", 1, 1)] * 2 + [("a line that all three share", "y", "z", 1, 0)]
+
+
 def test_bitmaps_are_sparse(spark):
     same = "a line that three documents share"
     text = "\n".join([same] + [f"line {i}" for i in range(500)] + [same])
