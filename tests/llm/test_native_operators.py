@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,11 +149,28 @@ def test_items_against_brute_force(spark, broadcast_bytes):
     d = docs_of(spark, docs)
     got = decontam.find_items(d, table, broadcast_bytes=broadcast_bytes).collect()
     assert sorted((str(r["doc_id"]), str(r["item_id"]), r["containment"], r["n_shingles"], r["n_shared"]) for r in got) == slow_items(docs, items)
-    hit = {r["doc_id"] for r in got}
-    assert sorted(str(r["doc_id"]) for r in decontam.remove_contaminated(d, table).collect()) == sorted(str(x) for x, _ in docs if x not in hit)
+    assert len({int(np.log2(r["n_shingles"])) for r in got}) >= 3
+    clean = [(x, t) for x, t in docs if not slow_items([(x, t)], items)]
+    stay = decontam.remove_contaminated(d, table, broadcast_bytes=broadcast_bytes).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in stay), key=str) == sorted(clean, key=str)
     assert decontam.find_items(d.limit(0), table).count() == decontam.find_items(d, table.limit(0)).count() == 0
 
 
+def test_clean_rows_of_null_and_repeated_ids_stay(spark):
+    items = spark.createDataFrame([(1, "this very item has exactly eight words inside")], "item_id long, text string")
+    d = docs_of(spark, [(None, "x this very item has exactly eight words inside y"), (None, "a clean text"), (None, None), (4, "clean too"), (4, "this very item has exactly eight words inside")])
+    got = decontam.remove_contaminated(d, items).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([(None, "a clean text"), (None, None), (4, "clean too")], key=str)
+    assert got[0]["keep"] == "x" and len(got[0]) == 8
+
+
+def test_sketches_lose_no_item_of_any_class():
+    for threshold in (0.5, 0.8, 0.9, 1.0):
+        need = lambda n: n - int(np.ceil(threshold * n - 1e-9)) + 1  # noqa: E731, B023
+        for n in range(1, 2000):
+            assert need(2 ** (int(np.log2(n)) + 1) - 1) >= need(n)
+
+
 def test_native_plans_have_no_python(spark):
     d = docs_of(spark, [(1, "a b c d e f")])
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
