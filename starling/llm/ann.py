@@ -6,14 +6,16 @@ routed to its `probes` most probable parts, whose rows are reranked by the exact
 vectors in double precision. `probes` is the least that reaches target_recall on sample queries that the classifier wasn't
 trained on; at worst it is all parts, which is exact.
 
-How it runs: rows of a part are dealt by hash into chunks and its queries into blocks, so a task holds one chunk and one block
-whatever the size of a part; each gives its own best k for each query, and a ranking over those gives the result.
+How it runs: there is about one part for PART_ROWS rows (from LEAST_PARTS to MOST_PARTS). Rows of a part are dealt by hash into chunks of bounded
+size; a row goes to one task, a query to the chunks of its parts. A task holds one chunk and streams the queries past it; each chunk
+gives its own best k for each query, and a ranking over those gives the result. A query whose parts hold fewer than 10 k + 1
+different ids goes on to its next probable parts until they do.
 
 Defined cases: null ids and vectors that are null, empty, zero, of another dimension than most of the sample, or that hold null
 or non-finite components take no part, neither as queries nor as candidates; ties go to the smaller id; several rows of one id
-are one candidate with its best score, and one query with its smallest vector; fewer candidates than k: all are returned
-when all parts are probed (under MIN_ROWS sample rows there is only one part); an empty table gives an empty result; other
-columns play no part.
+are one candidate with its best score, and one query with its smallest vector; fewer candidates than k: all are returned; tables of
+up to 10 k different ids are searched whole; from fewer than 8 rows nothing is learned and there is one part; an empty table gives
+an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SAMPLE_ROWS = 6_000
-MIN_ROWS = 1_000
-CHUNK, BLOCK = 8_192, 2_048
+PART_ROWS, LEAST_PARTS, MOST_PARTS = 2_048, 16, 256
+CHUNK, BLOCK = 32_768, 1_024
 
 
 def usable(v: Column) -> Column:
@@ -142,11 +144,13 @@ def train_router(x: np.ndarray, target: np.ndarray, hidden: int = 128, epochs: i
 
 def fit(x: np.ndarray, dim: int, parts: int = 16, graph_k: int = 10, k: int = 20, target_recall: float = 0.95) -> Router:
     """x: sample vectors. A fifth of them is held out to find the number of probes."""
-    if len(x) < MIN_ROWS:
+    parts = min(parts, len(x) // 4)
+    if parts < 2:
         return Router([], dim, 1, 1)
     parts = 1 << int(math.log2(parts))
     held = np.arange(len(x)) % 5 == 0
     seen, asked = x[~held], x[held]
+    graph_k = min(graph_k, len(seen) - 1)
     near = neighbours(seen, seen, graph_k, np.arange(len(seen)))
     part = cut_graph(seen, near, parts)
     target = np.zeros((len(seen), parts))
@@ -166,6 +170,8 @@ def fit(x: np.ndarray, dim: int, parts: int = 16, graph_k: int = 10, k: int = 20
 
 def fit_sample(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, **options) -> Router:
     """Fit on the sample_rows usable rows with the smallest hash of their id."""
+    if "parts" not in options:
+        options["parts"] = min(MOST_PARTS, max(LEAST_PARTS, 1 << round(math.log2(max(1, rows.count() / PART_ROWS)))))
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()["v"].to_pylist()
     if not got:
         return Router([], 1, 1, 1)
@@ -174,9 +180,7 @@ def fit_sample(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, **options) -> Ro
 
 
 def _best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row id, score) of the k best rows of x for each query, an id once, never the query's own."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
+    """(query, row id, score) of the k best rows of x, sorted by id, for each query, an id once, never the query's own."""
     starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     s = q @ x.T
     s[query_ids[:, None] == ids[None, :]] = -np.inf
@@ -195,12 +199,39 @@ def _best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
     return query_ids[i[rank < k]], j[rank < k], exact[rank < k]
 
 
+def stream(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
+    """The best of each query in each chunk, from rows (part, chunk, asks, vec_id, v) in this order: a chunk's vectors, then its queries."""
+    at, ids, held, x = None, [], [], None
+    for b in batches:
+        part, chunk, asks, vec_id = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        if not len(part):
+            continue
+        v = matrix(b.column(4), dim)
+        edge = np.flatnonzero((part[1:] != part[:-1]) | (chunk[1:] != chunk[:-1]) | (asks[1:] != asks[:-1])) + 1
+        for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(part)]):
+            if at != (part[s], chunk[s]):
+                at, ids, held, x = (part[s], chunk[s]), [], [], None
+            if not asks[s]:
+                ids.append(vec_id[s:e])
+                held.append(v[s:e])
+                continue
+            if not ids:
+                continue
+            if x is None:
+                every = np.concatenate(ids)
+                order = np.argsort(every, kind="stable")
+                every, x, held = every[order], np.concatenate(held)[order], []
+            for a in range(s, e, BLOCK):
+                found = _best(vec_id[a : min(e, a + BLOCK)], v[a : min(e, a + BLOCK)], every, x, k)
+                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, router: Router | None = None, id_col: str = "vec_id", vector_col: str = "embedding", **options) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest rows to each row for which is_query (over id_col) holds."""
     rows = vectors.where(F.col(id_col).isNotNull() & is_query.isNotNull() & usable(F.col(vector_col)))
-    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks"))
+    rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), is_query.alias("asks"))
     router = router or fit_sample(rows, **options)
-    dim, probes = router.dim, router.probes
+    dim, array = router.dim, rows.schema["v"].dataType.simpleString()
     rows = rows.where(F.size("v") == dim)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,31 +239,25 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, router: Router | N
             part = np.argmax(router.log_p(matrix(b.column(1), dim)), axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part, pa.int32())], [*b.schema.names, "part"])
 
+    index = materialize(rows.mapInArrow(file, f"vec_id long, v {array}, asks boolean, part int"), "ann-index")
+    # different ids of a part, an id that lies in several counted in one; at most MOST_PARTS rows
+    sizes = np.zeros(router.parts, np.int64)
+    for r in index.groupBy("vec_id").agg(F.min("part").alias("part")).groupBy("part").count().collect():
+        sizes[r["part"]] = r["count"]
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            best = np.argsort(-router.log_p(matrix(b.column(1), dim)), axis=1, kind="stable")[:, :probes]
-            lists = pa.array(best.tolist(), pa.list_(pa.int32()))
+            best = np.argsort(-router.log_p(matrix(b.column(1), dim)), axis=1, kind="stable")
+            n = np.minimum(router.parts, np.maximum(router.probes, 1 + (np.cumsum(sizes[best], axis=1) < 10 * k + 1).sum(axis=1)))
+            lists = pa.array([r[:c] for r, c in zip(best.tolist(), n.tolist())], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, "parts"])
 
-    index = materialize(rows.mapInArrow(file, "vec_id long, v array<double>, asks boolean, part int"), "ann-index")
-    queries = index.where("asks").groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(route, "vec_id long, v array<double>, parts array<int>")
-    queries = materialize(queries.select("vec_id", "v", F.explode("parts").alias("part")), "ann-queries")
-
-    largest = lambda df: df.groupBy("part").count().agg(F.max("count")).first()[0] or 1
-    chunks, blocks = -(-largest(index) // CHUNK), -(-largest(queries) // BLOCK)
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("vec_id", "v", "part", dealt(blocks).alias("block"), every(chunks).alias("chunk"))
-    right = index.select("vec_id", "v", "part", dealt(chunks).alias("chunk"), every(blocks).alias("block"))
-    keys = ["part", "chunk", "block"]
-
-    def meet(q: pa.Table, x: pa.Table) -> pa.Table:
-        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        if q.num_rows and x.num_rows:
-            found = _best(q["vec_id"].to_numpy(), matrix(q["v"], dim), x["vec_id"].to_numpy(), matrix(x["v"], dim), k)
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
-
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    queries = index.where("asks").groupBy("vec_id").agg(F.min("v").alias("v")).mapInArrow(route, f"vec_id long, v {array}, parts array<int>")
+    chunks = -(-(index.groupBy("part").count().agg(F.max("count")).first()[0] or 1) // CHUNK)
+    x = index.select("part", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(chunks)).cast("int").alias("chunk"), F.lit(False).alias("asks"), "vec_id", "v")
+    q = queries.select(F.explode("parts").alias("part"), "vec_id", "v").select("part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(True).alias("asks"), "vec_id", "v")
+    met = x.unionByName(q).repartition("part", "chunk").sortWithinPartitions("part", "chunk", "asks")
+    met = met.mapInArrow(lambda batches: stream(batches, dim, k), "query_id long, vec_id long, score double")
     met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # rows of one id may be in several parts
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return met.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -95,6 +95,42 @@ def test_lm_over_many_slices_buckets_and_dealt_histories(spark, monkeypatch):
     assert [x[:4] for x in got] == [x[:4] for x in want] and np.allclose([x[4:] for x in got], [x[4:] for x in want])
 
 
+def test_lm_long_text_and_common_pairs(spark, monkeypatch):
+    for name, value in (("SLICE_TOKENS", 5_000), ("REQUESTS", 2_000), ("HISTORY", 300)):
+        monkeypatch.setattr(lm, name, value)
+    rng = random.Random(3)
+    long = " ".join("the of" if rng.random() < 0.3 else f"w{rng.randrange(400)}" for _ in range(8_000))
+    rows = [(1, long), (2, "the of " * 900), (3, long[:300]), (4, "never seen the of words"), (None, "the of w1"), (6, None), (6, None)]
+    got = sorted((r["doc_id"] or 0, r["n_tokens"], r["score"]) for r in lm.score_documents(docs_of(spark, rows), F.col("doc_id").isin(1, 2, 6)).collect())
+    grams, follow = {}, {}
+    texts = [["<s>", *(t or "").split(), "</s>"] for _, t in rows]
+    for (i, _), t in zip(rows, texts):
+        for k in (1, 2, 3):
+            for a in range(len(t) - k + 1) if i in (1, 2, 6) else ():
+                g = tuple(t[a : a + k])
+                if g[-1] != "<s>" and not (k == 1 and g[0] == "<s>"):
+                    grams[g] = grams.get(g, 0) + 1
+                    if grams[g] == 1:
+                        follow.setdefault(g[:-1], []).append(g[-1])
+    starts = sum(i in (1, 2, 6) for i, _ in rows)
+    n, v, memo = sum(c for g, c in grams.items() if len(g) == 1), len(follow[()]), {}
+
+    def p(w, h):
+        if not h:
+            return (grams.get((w,), 0) + 0.5) / (n + 0.5 * (v + 1))
+        if h not in follow:
+            return p(w, h[1:])
+        total = starts if h == ("<s>",) else grams[h]
+        if (*h, w) in grams:
+            return (grams[*h, w] - lm.DISCOUNT) / total
+        if h not in memo:
+            memo[h] = (1 - sum((grams[*h, x] - lm.DISCOUNT) / total for x in follow[h])) / (1 - sum(p(x, h[1:]) for x in follow[h]))
+        return memo[h] * p(w, h[1:])
+
+    want = sorted((i or 0, len(t) - 1, sum(math.log10(p(t[a], tuple(t[max(0, a - 2) : a]))) for a in range(1, len(t)))) for (i, _), t in zip(rows, texts))
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want])
+
+
 def test_lm_without_training_and_empty(spark):
     got = lm.score_documents(docs_of(spark, [(1, "a b")]), F.lit(False)).first()
     assert (got["n_tokens"], got["n_known"], got["train_tokens"], got["base_score"], got["score"]) == (3, 0, 0, 0.0, 0.0)
@@ -221,6 +257,54 @@ def test_ann_recall(spark):
     assert n == 20 * (ids % 20 == 0).sum() and hits / n >= 0.9
 
 
+def _recall(spark, ids, x, k=20, modulus=20, **options):
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    got = ann.search(table, F.col("vec_id") % modulus == 0, k, **options).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = n = 0
+    for i in np.flatnonzero(ids % modulus == 0):
+        s = x @ x[i]
+        s[i] = -np.inf
+        hits += len(set(by[ids[i]]) & set(ids[np.lexsort((ids, -s))[:k]].tolist()))
+        n += k
+        assert len(by[ids[i]]) == k
+    return hits / n
+
+
+def test_ann_recall_on_clusters_through_learned_parts(spark):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(60, 24)) * 3
+    x = np.concatenate([c + rng.normal(size=(60, 24)) * 0.5 for c in centers]).astype(np.float32).astype(float)
+    ids = rng.permutation(len(x))
+    router = ann.fit(x, 24, parts=16)
+    assert router.parts == 16 and router.probes < 16
+    assert _recall(spark, ids, x, parts=16) >= 0.9
+    assert _recall(spark, np.arange(500), x[:500]) >= 0.9  # the sizes of small tables
+
+
+def test_ann_goes_on_to_further_parts_and_odd_rows_in_the_learned_path(spark):
+    rng = np.random.default_rng(6)
+    v = lambda: [float(np.float32(x)) for x in rng.normal(size=8)]
+    rows = [(i, v()) for i in range(400)] + [(500 + i, [1.0] * 8) for i in range(30)]
+    rows += [(None, v()), (600, None), (620, [0.0] * 8), (640, [float("nan")] * 8), (660, [1.0, None] + [0.0] * 6), (700, []), rows[0], (3, v()), (20, v())]
+    table = spark.createDataFrame([(*r, "c", 1) for r in rows], "vec_id long, embedding array<float>, part string, chunk int")
+    x = np.array([r[1] for r in rows[:430]])
+    one = ann.fit(x, 8, parts=8)
+    one.probes = 1
+    got = ann.search(table, F.col("vec_id") % 20 == 0, k=20, router=one).collect()
+    per = {}
+    for r in got:
+        per.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(per) == {i for i in range(0, 400, 20)} | {500, 520} and all([p for p, *_ in sorted(l)] == list(range(1, 21)) for l in per.values())
+    one.probes = one.parts
+    got = ann.search(table, F.col("vec_id") % 20 == 0, k=20, router=one).collect()
+    want = slow_nearest(rows, 20, 20)
+    assert [tuple(r)[:3] for r in sorted(map(tuple, got))] == [w[:3] for w in want]
+    assert np.allclose([r[3] for r in sorted(map(tuple, got))], [w[3] for w in want])
+
+
 def test_graph_parts_are_balanced():
     rng = np.random.default_rng(2)
     centers = rng.normal(size=(8, 16)) * 4
