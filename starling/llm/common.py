@@ -64,6 +64,17 @@ def clear_workspace(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_back(rows: DataFrame, table: DataFrame, keys: list[str], count: str = "n", most: int = 20_000) -> DataFrame:
+    """rows with the columns of table, which has one row for each value of the (non-null) keys and in `count` how many of the rows have
+    it. Keys of more than `most` rows (or 1/100,000 of all) are sent to the rows, at most 100,000 of them, so that no task gets all rows
+    of such a key. Both sides must be cheap to read twice (materialised)."""
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    is_hot = F.col(count) > F.lit(max(most, total // 100_000))
+    hot = F.broadcast(table.where(is_hot).drop(count))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(table.where(~is_hot).drop(count), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
 def ranked(df: DataFrame, group: list[str], order: list[str], into: str, chunk_rows: int = 50_000) -> DataFrame:
     """Gapless ranks from 0 within each group, without giving a whole group to one task.
 

@@ -4,12 +4,12 @@ Documents with equal texts form a group, which stays whole. Sizes are UTF-8 byte
 sizes near equal (as near as the largest group lets them be).
 
 How: the state of differencing is a set of partial partitions, each an ordered tuple of k subset sums. Repeatedly the two with
-the largest spread are combined, oppositely ordered, until one is left. Groups are dealt by hash into buckets of about
-BUCKET; each bucket is differenced by itself into one partial partition (applied in bounded memory), and the driver
-differences those, one tuple of k numbers per BUCKET groups. Where there are several buckets, a group with more than
-1/LARGE of a shard's share of a bucket stays out of them and enters the last differencing as a tuple of its own, since the
-other buckets could not offset it: fewer than LARGE * k such groups for each bucket. The labels of a bucket are then renamed by the permutation
-that its tuple got. Texts are never shuffled: a group's key is a 128-bit hash with the size and CRC-32.
+the largest spread are combined, oppositely ordered, until one is left. Groups are dealt by hash into buckets of about BUCKET, each
+differenced in a task of bounded memory. Where there are several buckets, groups with more than 1/LARGE of a shard's share of a bucket,
+fewer than LARGE * k for each bucket, are placed first, in the same way; their partial partition, divided by the number of buckets, is
+a tuple of every bucket, so that all buckets together offset what no single one could. What a bucket leaves uneven is some bytes; where
+there are no large groups, buckets turn their shards so that this doesn't add up. Texts are never shuffled: a group's key is a 128-bit
+hash with the size and CRC-32, and nothing but the k sums of the large groups reaches the driver.
 
 Defined cases: a null text has size 1 and CRC 0, and null texts form a group of their own; null doc_ids and repeated rows are
 rows like any other (slots of equal rows are interchangeable); an empty table gives an empty result; other columns play no
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash128, materialize, ranked
+from .common import hash128, join_back, materialize, ranked
 
 #: Groups differenced by one task, some 40 MB.
 BUCKET = 50_000
@@ -68,30 +68,30 @@ def difference(tuples: list[list[int]], k: int) -> tuple[np.ndarray, list[int]]:
 
 
 def assign(groups: DataFrame, keys: list[str], shards: int, bucket_rows: int = BUCKET) -> DataFrame:
-    """groups (materialised; `keys` and total `bytes`) with `shard`."""
+    """groups (materialised; non-null `keys` and total `bytes`) with `shard`."""
     total, size = groups.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     buckets = max(1, -(-total // bucket_rows))
-    is_large = F.lit(buckets > 1) & (F.col("bytes") * (LARGE * shards * buckets) > F.lit(size))
-    large = groups.where(is_large).select(*keys, "bytes").collect()  # fewer than LARGE * shards * buckets
-    large.sort(key=lambda r: (-r["bytes"], *map(str, r)))
-    dealt = groups.where(~is_large).withColumn("__bucket", F.pmod(F.xxhash64(F.lit("bucket"), *keys), F.lit(buckets)).cast("int"))
-    schema = ", ".join(f"{n} {t}" for n, t in dealt.dtypes) + ", label int"
+    held = [0] * shards
+    placed = None
+    if buckets > 1:
+        is_large = F.col("bytes") * (LARGE * shards * buckets) > F.lit(size)
+        placed = materialize(assign(materialize(groups.where(is_large).select(*keys, "bytes"), "shard-large"), keys, shards, 2 * bucket_rows), "shard-places")
+        for r in placed.groupBy("shard").agg(F.sum("bytes").alias("b")).collect():  # a row for each shard
+            held[r["shard"]] = r["b"] // buckets
+        groups = groups.where(~is_large)
+    dealt = groups.select(*keys, "bytes", F.pmod(F.xxhash64(F.lit("bucket"), *keys), F.lit(buckets)).cast("int").alias("bucket"))
+    schema = ", ".join(f"{n} {t}" for n, t in dealt.drop("bucket").dtypes) + ", shard int"
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bytes", *keys], ascending=False, ignore_index=True)
-        places, _ = difference([[int(b)] + [0] * (shards - 1) for b in pdf["bytes"]], shards)
-        return pdf.assign(label=places[:, 0].astype("int32"))
+        places, _ = difference([held] + [[int(b)] + [0] * (shards - 1) for b in pdf["bytes"]], shards)
+        own = np.empty(shards, np.int32)
+        own[places[0]] = np.arange(shards)  # the large groups keep their shards
+        turn = 0 if any(held) else int(pdf["bucket"].iloc[0])
+        return pdf[[*keys, "bytes"]].assign(shard=(own[places[1:, 0]] + turn) % shards)
 
-    labelled = materialize(dealt.groupBy("__bucket").applyInPandas(within, schema), "shard-labels")
-    sums = labelled.groupBy("__bucket").pivot("label", list(range(shards))).agg(F.sum("bytes")).na.fill(0).orderBy("__bucket").collect()
-    tuples = [[int(r[str(j)]) for j in range(shards)] for r in sums] + [[int(r["bytes"])] + [0] * (shards - 1) for r in large]
-    places, _ = difference(tuples, shards)
-    names = [(r["__bucket"], places[i].tolist()) for i, r in enumerate(sums)]
-    table = groups.sparkSession.createDataFrame(names, "__bucket int, shards array<int>")
-    joined = labelled.join(table, "__bucket").select(*keys, F.get("shards", F.col("label")).alias("shard"))
-    alone = [(*(r[n] for n in keys), int(p[0])) for r, p in zip(large, places[len(sums) :])]
-    schema = ", ".join(f"{n} {t}" for n, t in groups.select(*keys).dtypes) + ", shard int"
-    return joined.select(*keys, F.col("shard").cast("int")).unionAll(groups.sparkSession.createDataFrame(alone, schema))
+    rest = dealt.groupBy("bucket").applyInPandas(within, schema)
+    return rest if placed is None else rest.unionByName(placed)
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, bucket_rows: int = BUCKET) -> DataFrame:
@@ -103,7 +103,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, bucket_rows: int = BUCKET
         "shard-rows",
     )
     keys = ["h1", "h2", "size", "text_crc32"]
-    groups = materialize(rows.groupBy(*keys).agg(F.sum("size").alias("bytes")), "shard-groups")
-    placed = materialize(rows.join(assign(groups, keys, shards, bucket_rows), keys), "shard-placed")
+    groups = materialize(rows.groupBy(*keys).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
+    own = materialize(assign(groups, keys, shards, bucket_rows).drop("bytes").join(groups.select(*keys, "n"), keys), "shard-of-group")
+    placed = materialize(join_back(rows, own, keys), "shard-placed")
     slots = ranked(placed, ["shard"], ["doc_id", "h1", "h2"], "slot")
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -17,6 +17,14 @@ def test_ranks_are_gapless_in_any_chunking(spark, chunk_rows):
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and sum(map(len, by.values())) == len(rows)
 
 
+def test_join_back_sends_hot_keys(spark):
+    rows = common.materialize(spark.createDataFrame([(i % 7 if i % 2 else 9, i) for i in range(200)], "k long, x int"), "rows")
+    table = common.materialize(rows.groupBy("k").count().selectExpr("k", "count AS n", "k * 10 AS y"), "table")
+    for most in (20_000, 20, 0):
+        got = common.join_back(rows, table, ["k"], most=most)
+        assert sorted(map(tuple, got.select("k", "x", "y").collect())) == sorted((r["k"], r["x"], r["k"] * 10) for r in rows.collect())
+
+
 def test_words_and_case(spark):
     df = spark.createDataFrame([(None,), ("",), (" \t\x0b",), ("  One\x0cTWO É\n",), ("a b",)], "t string")
     got = [list(r["w"]) for r in df.select(common.words(F.col("t")).alias("w")).collect()]

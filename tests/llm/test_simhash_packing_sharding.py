@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 import zlib
@@ -146,6 +147,66 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(docs.limit(0), path).count() == 0
 
 
+def test_dynamic_program_fills_bins_as_exhaustive_search():
+    rng = random.Random(9)
+    for _ in range(40):
+        cap = rng.randint(5, 24)
+        counts = {}
+        for _ in range(rng.randint(1, 9)):
+            x = rng.randint(1, cap)
+            counts[x] = counts.get(x, 0) + 1
+        left = [n for n, c in counts.items() for _ in range(c)]
+        for bins, used in packing.fill_bins(counts, cap):
+            for _ in range(bins):
+                own = [n for n, k in used for _ in range(k)]
+                rest = list(left)
+                rest.remove(max(left))
+                sums = [sum(x for i, x in enumerate(rest) if mask >> i & 1) for mask in range(1 << len(rest))]
+                assert sum(own) == max(left) + max(x for x in sums if x + max(left) <= cap) and max(left) in own
+                for n in own:
+                    left.remove(n)
+        assert not left
+
+
+def naive_differencing(sizes, k):
+    tuples = [sorted([s] + [0] * (k - 1), reverse=True) for s in sizes]
+    while len(tuples) > 1:
+        tuples.sort(key=lambda t: t[0] - t[-1])
+        a, b = tuples.pop(), tuples.pop()
+        tuples.append(sorted((x + y for x, y in zip(a, reversed(b))), reverse=True))
+    return tuples[0]
+
+
+@pytest.mark.parametrize("k", [2, 3, 5])
+def test_differencing_against_a_naive_loop_and_all_partitions(k):
+    rng = random.Random(k)
+    for _ in range(20):
+        sizes = rng.sample(range(1, 10_000), 7 if k < 5 else 6)
+        places, sums = sharding.difference([[s] + [0] * (k - 1) for s in sizes], k)
+        got = [0] * k
+        for s, p in zip(sizes, places):
+            got[p[0]] += s
+        assert sorted(got) == sorted(sums) == sorted(naive_differencing(sizes, k))
+        best = min(max(sum(s for s, x in zip(sizes, label) if x == j) for j in range(k)) for label in itertools.product(range(k), repeat=len(sizes)))
+        assert best <= max(got) <= best * 4 / 3 + 1
+
+
+def test_sharding_in_buckets_of_any_size(spark):
+    rng = random.Random(7)
+    rows = [(i, f"{i} " + "x" * rng.randrange(400), "size", 1) for i in range(500)] + [(900 + i, "same text in a third of the rows", None, None) for i in range(250)]
+    rows += [rows[0], (None, None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "fp AS size", "trie AS shard", "trie AS slot", "text AS h1", "1 AS n", "2 AS bytes")
+    d = docs.selectExpr("octet_length(coalesce(text, '')) + 1L AS size", "xxhash64(text) AS h1").groupBy("h1").agg(sharding.F.sum("size").alias("bytes"))
+    groups = sharding.materialize(d, "test-groups")
+    for bucket_rows in (25, 60, 1000):
+        sizes = [r["b"] for r in sharding.assign(groups, ["h1"], 4, bucket_rows).groupBy("shard").agg(sharding.F.sum("bytes").alias("b")).collect()]
+        assert len(sizes) == 4 and max(sizes) < 1.03 * sum(sizes) / 4
+    got = sharding.assign(groups, ["h1"], 4, bucket_rows=60).groupBy("shard").agg(sharding.F.sum("bytes").alias("b"), sharding.F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in got) == groups.count() and max(r["b"] for r in got) < 1.05 * sum(r["b"] for r in got) / 4
+    out = sharding.shard_documents(docs, 4, 20).collect()
+    assert len(out) == len(rows) and len({r["shard"] for r in out if (r["doc_id"] or 0) >= 900}) == 1
+
+
 def test_differencing_small_cases():
     places, sums = sharding.difference([[8, 0], [7, 0], [6, 0], [5, 0], [4, 0]], 2)
     got = [0, 0]
