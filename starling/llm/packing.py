@@ -6,9 +6,9 @@ bin, opened by the longest piece left, a subset-sum dynamic program over the len
 sums) finds the fullest feasible combination, which is then removed.
 
 How: the search needs only how many pieces have each length, at most `capacity` numbers, so it runs on the driver whatever the
-corpus, and a combination is removed as often as the counts allow at once. Pieces get gapless ranks among those of their
-length in the distributed table, and rank and length give sequence and offset from the plan's intervals (at most
-a few ten thousand, whatever the corpus).
+corpus, and a combination is removed as often as the counts allow at once. Pieces of the full capacity are sequences by themselves.
+The others get gapless ranks among those of their length in the distributed table, and rank and length give sequence and offset from
+the plan's intervals (at most a few ten thousand, whatever the corpus).
 
 Tokenising caches by stretches between single spaces and line feeds, where this pre-tokeniser always cuts; a text with other
 white space at such a cut, or with the string of a special token, is encoded whole.
@@ -217,7 +217,9 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     if any(not 0 < n <= capacity for n in counts):
         raise ValueError(f"piece lengths must be from 1 to {capacity}")
-    table = intervals(fill_bins(counts, capacity))
+    counts.pop(capacity, None)
+    plan = fill_bins(counts, capacity)
+    table = intervals(plan)
     big = max(counts.values(), default=0) + 1
     keys = table[:, 0] * big + table[:, 1]  # at most capacity times the rows, far below 2^63
 
@@ -231,9 +233,11 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
             made = [pa.array(row[:, 2] + t % row[:, 3], pa.int64()), pa.array(row[:, 4] + t // row[:, 3] * row[:, 0], pa.int64())]
             yield pa.RecordBatch.from_arrays([*cols, *made], [*names, "sequence_id", "offset"])
 
-    numbered = ranked(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "__rank")
+    numbered = ranked(pieces.where(F.col("length") < capacity), ["length"], ["doc_id", "piece", "ids_crc32"], "__rank")
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long"
-    return numbered.mapInArrow(place, schema)
+    after = F.monotonically_increasing_id() + F.lit(sum(bins for bins, _ in plan))
+    full = pieces.where(F.col("length") == capacity).select("*", after.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return numbered.mapInArrow(place, schema).unionAll(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
