@@ -29,10 +29,10 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest doc_id (nulls last, then by a hash of the text); of
-    rows that repeat it one."""
+    """Of each component of near-duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest doc_id (nulls
+    last, then by a hash of the text); of rows that repeat it one."""
     marked = docs.select(*COLUMNS, line_dedup.text_mark(F.col("text")).alias("__mark"))
-    found = simhash.near_duplicates(marked.select("doc_id", "text", "__mark"), carry=("__mark",))
+    found = simhash.similar_documents(marked.select("doc_id", "text"), width=5, similarity=0.8).withColumnRenamed("mark", "__mark")
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__mark")).alias("x"))
     stays = materialize(first.select(F.col("x.doc_id").alias("__id"), F.col("x.__mark").alias("__m")), "stays")
     kept = marked.join(stays, marked["doc_id"].eqNullSafe(stays["__id"]) & (marked["__mark"] == stays["__m"]), "left_semi")

