@@ -155,3 +155,18 @@ def test_exact_beyond_the_sent_queries(spark, monkeypatch, metric):
     want = rows()
     monkeypatch.setattr(search, "BROADCAST_QUERIES", 3)
     assert rows() == want
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "cosine_f32"])
+def test_f1_score_by_blocks_gives_the_bits_of_the_expression(spark, monkeypatch, metric):
+    rng = np.random.default_rng(5)
+    odd = [(900, [0.0] * 7), (901, [float("nan")] * 7), (902, [1.0, None, 1.0, 1.0, 1.0, 1.0, 1.0]), (903, [1.0, 2.0]), (904, None), (905, [float("inf")] * 7), (906, [0.0] * 2)]
+    e = table(spark, [(i, [float(x) for x in rng.normal(size=7)]) for i in range(60)] + odd)
+    q = e.where("id % 9 = 0 OR id >= 900").selectExpr("id AS query_id", "vector")
+    want = e.where("vector IS NOT NULL").crossJoin(q.withColumnRenamed("vector", "q")).select("query_id", "id", search.METRICS[metric](F.col("q"), F.col("vector")).alias("distance"))
+    monkeypatch.setattr(search, "SCORE_CHUNK", 25)
+    monkeypatch.setattr(search, "SCORE_BLOCK", 4)
+    got = search.score(e, q, metric)
+    assert "BroadcastNestedLoopJoin BuildRight, Cross" not in got._jdf.queryExecution().executedPlan().toString()
+    key = lambda d: sorted((r["query_id"], r["id"], str(r["distance"])) for r in d.collect())
+    assert key(got) == key(want)
