@@ -33,3 +33,13 @@ def test_words_and_case(spark):
 
 def test_workspace_follows_the_session(spark):
     assert common.workspace(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/") + "/starling"
+
+
+@pytest.mark.parametrize("share, tidied", [(0.0, True), (1.0, False)])
+def test_broadcasts_of_finished_jobs_go_once_the_heap_has_grown(spark, monkeypatch, share, tidied):
+    monkeypatch.setattr(common, "HEAP_SHARE", share, raising=False)
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    common.materialize(spark.range(5).join(spark.range(3).hint("broadcast"), "id"), "tidied")
+    assert (full() > before) == tidied
