@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ranked
+from .common import kept_by, materialize, ranked
 
 #: Strings cached per worker, some 250 MB.
 CACHE = 1_400_000
@@ -117,14 +117,12 @@ class Encoder:
             into[x] = into[x[:-1]] + self.marks[x[-1]]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One per worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """One per worker, until the worker runs another operator that keeps something or needs the memory."""
+    kept = kept_by("packing")
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:

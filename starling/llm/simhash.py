@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, join_back, materialize, words
+from .common import SPACES, join_back, kept_by, materialize, words
 from .decontam import shingle_hashes
 from .line_dedup import text_mark
 
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, width: int = 4, carry: tuple[str, ...] = ()) -
     """(doc_id, fp, carried columns): the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("simhash")
         for b in batches:
             fps = np.array([fingerprint(x, width) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *carry])
@@ -181,6 +182,7 @@ def candidates(groups: DataFrame, masks: list[int], budget: int = CANDIDATE_BITS
     dealt = groups.select("fp", F.posexplode(roots).alias("trie", "root"), "label").repartition("trie", "root").sortWithinPartitions("trie", "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("simhash")
         held = [np.zeros(0, np.int64)] * 4  # rows of the last root, which may go on in the next batch
 
         def out(fp: np.ndarray, trie: np.ndarray, root: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
@@ -254,6 +256,7 @@ def links(groups: DataFrame, budget: int = 4) -> DataFrame:
     dealt = dealt.repartition("trie", "root").sortWithinPartitions("trie", "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("simhash")
         held: list[np.ndarray] = []  # of the last root, which may go on in the next batch
         at = None
 

@@ -8,7 +8,7 @@ Features are the distinct words of a whole text, lower-cased in A-Z, cut at whit
 PREFIXES bytes of longer ones (inflected and compound forms), hashed to 2**HASH_BITS; for each category the features are used
 whose likelihood ratio is at least LEAST, the TOP ones at most. The models are fitted on at most sample_rows
 labelled documents, chosen by a hash of doc_id (a documented bound; features of the sample, not texts, reach the driver). All
-documents are scored, whole, in one pass without a shuffle.
+documents are scored, whole, in one pass without a shuffle; a worker holds the features of TOGETHER documents at a time.
 
 Defined cases: null and empty texts have no words and are never toxic; a null label leaves a document out of that category's
 training; several labels of a document count as their largest; without a positive or without a negative label a category's
@@ -27,12 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_by
+
 HASH_BITS = 21
 TOP = 4096
 LEAST = 15.0
 PREFIXES = (4, 5, 6)
 FOLDS = 5
 SAMPLE_ROWS = 8_000
+#: Documents that are scored and sent back together.
+TOGETHER = 512
 _LETTERS = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -56,9 +60,10 @@ class Linear:
     bias: float
 
     def log_odds(self, rows: list[np.ndarray], dense: np.ndarray) -> np.ndarray:
-        table = np.zeros(1 << HASH_BITS)
-        table[self.chosen] = self.weights
-        return np.array([table[r].sum() for r in rows]).reshape(len(rows)) + dense @ self.dense + self.bias
+        place = np.zeros(1 << HASH_BITS, np.int16)  # at most TOP hashes
+        place[self.chosen] = np.arange(1, len(self.chosen) + 1)
+        weights = np.r_[0.0, self.weights]
+        return np.array([weights[place[r]].sum() for r in rows]).reshape(len(rows)) + dense @ self.dense + self.bias
 
 
 def _select(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -154,19 +159,28 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample_rows
     return fit_chain(rows, {c: got[o].to_numpy().astype(float) for c, o in zip(categories, own)})
 
 
+def judge(batch: pa.RecordBatch, text: int, chain: Chain, at: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The batch in slices, with the probability of each category and whether that of category `at` reaches the threshold."""
+    names = [*batch.schema.names, *[f"p_{c}" for c in chain.categories], "rejected"]
+    for start in range(0, batch.num_rows, TOGETHER):
+        b = batch.slice(start, TOGETHER)
+        rows = [features(x) for x in b.column(text).cast(pa.binary()).to_pylist()]
+        p = 1 / (1 + np.exp(-chain.log_odds(rows)))
+        toxic = (p[:, at] >= threshold) & np.array([len(r) > 0 for r in rows], bool)
+        yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(x) for x in p.T], pa.array(toxic)], names)
+
+
 def score(docs: DataFrame, chain: Chain, reject: str, threshold: float = 0.5) -> DataFrame:
     """docs with p_<category> for each category and `rejected`: the probability of category `reject` is at least threshold."""
     names = [f"p_{c}" for c in chain.categories]
     at = chain.categories.index(reject)
-    kept = [c for c in docs.columns if c not in (*names, "rejected", "__raw")]
+    kept = [c for c in docs.columns if c not in (*names, "rejected")]
+    text = kept.index("text") if "text" in kept else [c.lower() for c in kept].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_by("toxicity")
         for b in batches:
-            raw = b.column(b.num_columns - 1).to_pylist()
-            rows = [features(x) for x in raw]
-            p = 1 / (1 + np.exp(-chain.log_odds(rows)))
-            toxic = (p[:, at] >= threshold) & np.array([len(r) > 0 for r in rows], bool)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(p[:, i]) for i in range(len(names))], pa.array(toxic)], [*kept, *names, "rejected"])
+            yield from judge(b, text, chain, at, threshold)
 
     schema = ", ".join([f"`{n}` {t}" for n, t in docs.select(*kept).dtypes] + [f"`{n}` double" for n in names] + ["rejected boolean"])
-    return docs.select(*kept, F.encode("text", "UTF-8").alias("__raw")).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(run, schema)

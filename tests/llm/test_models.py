@@ -1,12 +1,13 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from starling.llm import ann, langid, lm, toxicity
-from starling.llm.queries import TOXICITY_CHAIN, op4_learned_partition_ann
+from starling.llm import ann, langid, lm, packing, toxicity
+from starling.llm.queries import TOXICITY_CHAIN, op4_learned_partition_ann, tokenizer_path
 
 ODD = [(1001, None), (1002, ""), (1003, " \n\t "), (1004, "123 ... !!"), (None, "some words here"), (1005, "same row"), (1005, "same row"), (1006, "long " * 40_000)]
 DOCS = "doc_id long, text string, score string, rejected string, h int, words int"
@@ -207,6 +208,29 @@ def test_chain_uses_earlier_categories_and_survives_gaps(spark):
     assert not toxicity.score(docs_of(spark, ODD), none, "toxic").where("rejected").count()
 
 
+def test_toxicity_worker_memory(spark, monkeypatch):
+    """A worker holds one batch's texts, the features of a slice, and nothing that an earlier operator kept."""
+    docs = spark.range(4000).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 300), i -> concat('w', pmod(hash(id, i), 9999))), ' ') AS text")
+    chain = toxicity.Chain(["toxic"], [toxicity.Linear(np.array([3, 7, 2000], np.int32), np.array([1.0, -2.0, 0.5]), np.zeros(0), 0.1)])
+    whole = {r["doc_id"]: r["p_toxic"] for r in toxicity.score(docs, chain, "toxic").collect()}
+    found = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: found.append((self.toArrow().combine_chunks().to_batches()[0], f)))
+    toxicity.score(docs, chain, "toxic")
+    [(batch, run)] = found
+    assert batch.schema.names == ["doc_id", "text"]  # each text once
+    before = packing.encoder(tokenizer_path())
+    assert packing.encoder(tokenizer_path()) is before
+    tracemalloc.start()
+    got, sizes = {}, []
+    for b in run(iter([batch])):
+        got |= dict(zip(b["doc_id"].to_pylist(), b["p_toxic"].to_pylist()))
+        sizes.append(b.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == whole and max(sizes) <= toxicity.TOGETHER and peak < 12e6
+    assert packing.encoder(tokenizer_path()) is not before
+
+
 # ------------------------------------------------------------------ nearest neighbours
 
 
